@@ -14,7 +14,7 @@ EV_TEXT = ["event_type", "props", "channel"]
 
 def r(x: str, places: int) -> str:
     """Half-up rounding of the decimal text of a double, as Spark rounds."""
-    return f"CAST(round(CAST({x} AS DECIMAL(36, 14)), {places}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(36, 16)), {places}) AS DOUBLE)"
 
 
 def big(x: str, places: int = 4) -> str:
