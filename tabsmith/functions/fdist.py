@@ -30,19 +30,32 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b)."""
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """log(gamma(a + b) / gamma(a)) without cancelling two huge numbers.
+
+    With a million million rows both logarithms are near 1e13 and their difference would
+    keep only a few digits, so large arguments use the expanded difference.
+    """
+    if a < 1e4:
+        return math.lgamma(a + b) - math.lgamma(a)
+    c = a + b
+    tail = (1 / c - 1 / a) / 12 - (1 / c**3 - 1 / a**3) / 360
+    return (c - 0.5) * math.log1p(b / a) + b * math.log(a) - b + tail
+
+
+def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function I_x(a, b); y = 1 - x is passed for accuracy."""
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    front = math.exp(log_front)
+    large, small = max(a, b), min(a, b)
+    log_x = math.log1p(-y) if y < 0.5 else math.log(x)
+    log_y = math.log1p(-x) if x < 0.5 else math.log(y)
+    front = math.exp(_log_gamma_ratio(large, small) - math.lgamma(small) + a * log_x + b * log_y)
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
 def f_upper_tail(f: float, df_between: float, df_within: float) -> float:
@@ -51,5 +64,5 @@ def f_upper_tail(f: float, df_between: float, df_within: float) -> float:
         return 1.0
     if math.isinf(f):
         return 0.0
-    x = df_within / (df_within + df_between * f)
-    return incomplete_beta(df_within / 2.0, df_between / 2.0, x)
+    total = df_within + df_between * f
+    return incomplete_beta(df_within / 2.0, df_between / 2.0, df_within / total, df_between * f / total)

@@ -20,12 +20,9 @@ from tabsmith.functions.expr import (
 from tabsmith.operators.correlation import correlation_matrix, correlation_pairs, strong_pairs
 from tabsmith.operators.stats import COLUMNS_PER_PASS, TableStats, outside, table_stats, value_counts
 
-# Windows below run over one row per column (or per bin, or per finding), never over data rows.
-_ALL = Window.partitionBy(F.lit(1))
-
-
 def _ranked(df: DataFrame, *order: Column | str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(_ALL.orderBy(*order)))
+    """Rank the rows of a report: one row per column of a table, never its data rows."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
 
 
 def missing_ranking(stats: TableStats, spark) -> DataFrame:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.jobs import together
 
-# Windows below without a data key run over classes x classes rows.
-_ALL = Window.partitionBy(F.lit(1))
-
-
 def confusion_counts(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
     return scored.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("cnt")

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +74,15 @@ def test_train_only_constant(spark):
 
 
 def test_f_distribution_tail(spark):
-    # Reference values of the F distribution.
-    assert f_upper_tail(4.0, 1, 10) == pytest.approx(0.07338803477074, abs=1e-10)
-    assert f_upper_tail(2.5, 3, 40) == pytest.approx(0.0732938, abs=1e-5)
+    dist = spark._jvm.org.apache.commons.math3.distribution.FDistribution
+    for f in (0.01, 0.5, 1.0, 2.5, 4.0, 30.0):
+        for d1, d2 in ((1, 10), (3, 40), (2, 5000), (20, 7), (4, 10**7)):
+            want = 1.0 - dist(float(d1), float(d2)).cumulativeProbability(f)
+            assert f_upper_tail(f, d1, d2) == pytest.approx(want, abs=1e-9)
     assert f_upper_tail(0.0, 2, 5) == 1.0
+    # With endless rows 4 F is chi-squared with 4 degrees of freedom.
+    for f in (0.5, 1.0, 3.0, 8.0):
+        assert f_upper_tail(f, 4, 1e12) == pytest.approx(math.exp(-2 * f) * (1 + 2 * f), rel=1e-9)
 
 
 def test_anova_against_jvm_and_hot_class(spark):
