@@ -69,9 +69,9 @@ CUST_ALL = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 CUST = f"WITH {stats('customer', CUST_ALL, ['c_custkey', 'c_nationkey', 'c_acctbal'], ['c_name', 'c_mktsegment'])}\n"
 
 KIND = "CASE WHEN is_num THEN 'numeric' ELSE 'categorical/text' END"
-PCT = "100.0 * CAST({0} AS DOUBLE) / n"
+PCT = "CAST({0} AS DOUBLE) / n * 100"
 HIGH = "(NOT is_num AND (uniq > 25 OR (CAST(uniq AS DOUBLE) / n > 0.5 AND n > 10)))"
-SHARE_OUT = "100.0 * CAST(outliers AS DOUBLE) / n"
+SHARE_OUT = "CAST(outliers AS DOUBLE) / n * 100"
 
 FLAGS = f"""concat_ws('|',
  CASE WHEN missing = n THEN 'completely missing' WHEN 100.0 * missing / n > 20 THEN 'high missingness' END,
@@ -153,10 +153,10 @@ FROM st WHERE column_name = '{c}'""")
     return EV + union(out)
 
 
-def standard(c: str, table: str) -> str:
+def standard(c: str, places: int = 4) -> str:
     """Mean-imputed and standardised column over the whole table."""
     filled = f"coalesce({c}, avg({c}) OVER ())"
-    return r(f"({filled} - avg({c}) OVER ()) / sqrt(var_pop({c}) OVER () * count({c}) OVER () / count(*) OVER ())", 6)
+    return r(f"({filled} - avg({c}) OVER ()) / sqrt(var_pop({c}) OVER () * count({c}) OVER () / count(*) OVER ())", places)
 
 
 TARGET_SCORES = f"""WITH {LABELLED},
@@ -292,7 +292,7 @@ SELECT {r('(tp + tn) / n', 4)} AS accuracy, {r('p1', 4)} AS precision, {r('r1',
 def findings_rows() -> str:
     nums = [c for c in EV_NUM if c != "nothing"]
     return EV + f""", {pairs('ev', nums)},
-total AS (SELECT sum(missing) AS m, 100.0 * sum(missing) / sum(n) AS p FROM st),
+total AS (SELECT sum(missing) AS m, CAST(sum(missing) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100 AS p FROM st),
 miss AS (SELECT *, row_number() OVER (ORDER BY missing DESC, position) AS rn, {r(PCT.format('missing'), 2)} AS p FROM st WHERE missing > 0),
 outl AS (SELECT *, row_number() OVER (ORDER BY outliers DESC, position) AS rn, {r(SHARE_OUT, 2)} AS p FROM st WHERE outliers > 0),
 strong AS (SELECT *, row_number() OVER (ORDER BY abs(correlation) DESC, p1, p2) AS rn FROM prs WHERE abs(correlation) >= 0.7),
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["dataset_summary"] = f"""WITH {DOUBLED} SELECT count(*) AS num_rows, 10 AS num_cols, 8 AS numeric_column_count, 2 AS categorical_column_count,
  any_value(d) AS duplicate_row_count, {" + ".join(f"(count(*) - count({c}))" for c in LINE_ALL)} AS missing_value_count,
- {r("100.0 * CAST(" + " + ".join(f"(count(*) - count({c}))" for c in LINE_ALL) + " AS DOUBLE) / (count(*) * 10)", 2)} AS missing_value_percentage
+ {r("CAST(" + " + ".join(f"(count(*) - count({c}))" for c in LINE_ALL) + " AS DOUBLE) / (count(*) * 10) * 100", 2)} AS missing_value_percentage
  FROM doubled CROSS JOIN (SELECT CAST({dup('doubled')} AS BIGINT) AS d)"""
     q["duplicate_rows"] = f"WITH {DOUBLED} SELECT CAST({dup('doubled')} AS BIGINT) AS duplicate_row_count"
     part = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -337,9 +337,9 @@ def oracle_sql() -> dict[str, str]:
  CASE WHEN is_num THEN outliers END AS outlier_count, CASE WHEN NOT is_num THEN top_value END AS most_frequent_value,
  CASE WHEN NOT is_num THEN top_count END AS most_frequent_frequency FROM st"""
     q["target_profile"] = f"""WITH {DIRTY} SELECT returnflag AS class, count(*) AS class_count,
- {r("100.0 * count(*) / (SELECT CAST(count(returnflag) AS DOUBLE) FROM dirty)", 2)} AS class_percentage FROM dirty GROUP BY returnflag"""
+ {r("count(*) / (SELECT CAST(count(returnflag) AS DOUBLE) FROM dirty) * 100", 2)} AS class_percentage FROM dirty GROUP BY returnflag"""
     q["quality_score"] = DOUBLE + f""", parts AS (SELECT
- CAST(least(25, floor({r("100.0 * (SELECT sum(missing) FROM st) / (SELECT CAST(sum(n) AS DOUBLE) FROM st)", 2)} * 2.5 + 0.5)) AS BIGINT) AS missing_deduction,
+ CAST(least(25, floor({r("CAST((SELECT sum(missing) FROM st) AS DOUBLE) / (SELECT CAST(sum(n) AS DOUBLE) FROM st) * 100", 2)} * 2.5 + 0.5)) AS BIGINT) AS missing_deduction,
  CAST(CASE WHEN {dup('doubled')} > 0 THEN 10 ELSE 0 END AS BIGINT) AS duplicate_deduction,
  CAST(least(15, 2 * (SELECT count(*) FROM st WHERE is_num AND {r(SHARE_OUT, 2)} > 5)) AS BIGINT) AS outlier_deduction,
  CAST((SELECT CASE WHEN min(p) < 15 THEN 10 WHEN min(p) < 30 THEN 5 ELSE 0 END FROM (SELECT 100.0 * count(*) / (SELECT count(returnflag) FROM doubled) AS p FROM doubled GROUP BY returnflag)) AS BIGINT) AS imbalance_deduction),
@@ -348,7 +348,7 @@ SELECT *, CASE WHEN quality_score >= 85 THEN 'excellent' WHEN quality_score >= 7
     q["missing_ranking"] = EV + f"""SELECT CAST(row_number() OVER (ORDER BY missing DESC, position) AS INTEGER) AS rank, column_name, missing AS missing_count,
  {r(PCT.format('missing'), 2)} AS missing_percentage FROM st WHERE missing > 0"""
     q["missing_overview"] = EV + f"""SELECT sum(missing) > 0 AS has_missing_values, CAST(sum(missing) AS BIGINT) AS total_missing_values,
- {r("100.0 * CAST(sum(missing) AS DOUBLE) / sum(n)", 2)} AS overall_missing_percentage FROM st"""
+ {r("CAST(sum(missing) AS DOUBLE) / CAST(sum(n) AS DOUBLE) * 100", 2)} AS overall_missing_percentage FROM st"""
     q["numeric_summary"] = EV + f"""SELECT CAST(row_number() OVER (ORDER BY abs(skew) + {SHARE_OUT} / 10 DESC, position) AS INTEGER) AS interest_rank, column_name, nn AS count,
  {big('mean')} AS mean, {big('sd')} AS std, {big('var')} AS variance, {big('skew')} AS skewness, outliers AS outlier_count,
  {r(f'abs(skew) + {SHARE_OUT} / 10', 4)} AS interest_score FROM st WHERE is_num AND nn > 0"""
@@ -359,7 +359,7 @@ SELECT *, CASE WHEN quality_score >= 85 THEN 'excellent' WHEN quality_score >= 7
  FROM st WHERE NOT is_num"""
     q["category_topk"] = union(
         [
-            f"SELECT '{c}' AS column_name, CAST(rn AS INTEGER) AS rank, v AS category, k AS category_count, {r('100.0 * k / (SELECT CAST(count(*) AS DOUBLE) FROM part)', 2)} AS percentage"
+            f"SELECT '{c}' AS column_name, CAST(rn AS INTEGER) AS rank, v AS category, k AS category_count, {r('k / (SELECT CAST(count(*) AS DOUBLE) FROM part) * 100', 2)} AS percentage"
             f" FROM (SELECT {c} AS v, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rn FROM part GROUP BY {c}) WHERE rn <= 10"
             for c in ("p_brand", "p_type")
         ]
@@ -421,13 +421,13 @@ logged AS (SELECT event_id, CASE WHEN take_log THEN ln(1 + greatest(value, 0)) E
 {", ".join(f'''{c}_s AS (SELECT *, (SELECT count(*) FROM logged WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / CAST(n AS DOUBLE) AS share
  FROM (SELECT count(*) AS n, avg({c}) AS mean, stddev_pop({c}) AS sd, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM logged))''' for c in ('value', 'balance'))}
 SELECT event_id, {", ".join(r(f"(SELECT CASE WHEN share > 0.02 THEN (l.{c} - med) / (q3 - q1) ELSE (l.{c} - mean) / sd END FROM {c}_s)", 6) + f" AS {c}" for c in ('value', 'balance'))} FROM logged l"""
-    q["scale_standard"] = f"WITH {DIRTY} SELECT orderkey, partkey, suppkey, " + ", ".join(f"{standard(c, 'dirty')} AS {c}" for c in ("quantity", "price", "discount", "tax")) + " FROM dirty"
+    q["scale_standard"] = f"WITH {DIRTY} SELECT orderkey, partkey, suppkey, " + ", ".join(f"{standard(c)} AS {c}" for c in ("quantity", "price", "discount", "tax")) + " FROM dirty"
     kinds = ["click", "error", "purchase", "signup", "view"]
     q["one_hot"] = EV + f"SELECT event_id, " + ", ".join(f"CASE WHEN {mode('event_type')} = '{k}' THEN 1.0 ELSE 0.0 END AS event_type_{k}" for k in kinds) + " FROM ev"
     q["ordinal"] = EV + f""", dict AS (SELECT props AS v, CAST(row_number() OVER (ORDER BY props) - 1 AS DOUBLE) AS idx FROM (SELECT DISTINCT props FROM ev WHERE props IS NOT NULL))
 SELECT event_id, idx AS props_ordinal FROM ev JOIN dict ON {mode('props')} = v"""
     q["plain_ordinal"] = f"""WITH {DIRTY}, dict AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS idx FROM (SELECT DISTINCT coalesce(returnflag, 'nan') AS v FROM dirty))
-SELECT orderkey, partkey, suppkey, {standard('quantity', 'dirty')} AS quantity, idx AS returnflag FROM dirty JOIN dict ON coalesce(returnflag, 'nan') = v"""
+SELECT orderkey, partkey, suppkey, {standard('quantity')} AS quantity, idx AS returnflag FROM dirty JOIN dict ON coalesce(returnflag, 'nan') = v"""
     q["one_hot_capped"] = union(
         [
             f"SELECT '{c}_' || CASE WHEN rn <= cap THEN v ELSE 'infrequent_sklearn' END AS feature, CAST(sum(k) AS DOUBLE) AS ones, (SELECT count(*) FROM part) AS n FROM"
@@ -441,7 +441,7 @@ SELECT 'before' AS side, count(*) AS num_rows, CAST(10 AS BIGINT) AS num_columns
 UNION ALL SELECT 'after', count(*), CAST(10 AS BIGINT), {missing_cells('clean').replace(' FROM clean', '')}, CAST({dup('clean')} AS BIGINT), (SELECT CAST(sum(outliers) AS BIGINT) FROM af) FROM clean)
 WINDOW w AS (ORDER BY side DESC)"""
     keys = (("mn", "min"), ("mx", "max"), ("mean", "mean"), ("med", "median"), ("sd", "std"), ("skew", "skewness"))
-    q["compare_numeric"] = COMPARE + "SELECT column_name, b.missing AS before_missing, " + r("100.0 * CAST(b.missing AS DOUBLE) / b.n", 2) + " AS before_missing_pct, a.missing AS after_missing, b.outliers AS before_outliers, a.outliers AS after_outliers, " + ", ".join(
+    q["compare_numeric"] = COMPARE + "SELECT column_name, b.missing AS before_missing, " + r("CAST(b.missing AS DOUBLE) / b.n * 100", 2) + " AS before_missing_pct, a.missing AS after_missing, b.outliers AS before_outliers, a.outliers AS after_outliers, " + ", ".join(
         f"{big(f'{t}.{x}')} AS {s}_{y}" for t, s in (("b", "before"), ("a", "after")) for x, y in keys
     ) + " FROM bf b JOIN af a USING (column_name)"
     q["compare_hist"] = compare_hist()

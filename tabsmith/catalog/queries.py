@@ -312,7 +312,7 @@ def log1p_scale_robust(spark, d):
 def scale_standard(spark, d):
     df = dirty_lineitem(spark, d).select("orderkey", "partkey", "suppkey", "quantity", "price", "discount", "tax")
     m = HybridPreprocessor(inputCols=["quantity", "price", "discount", "tax"]).fit(df)
-    return _rounded(m.transform(df))
+    return _rounded(m.transform(df), 4)
 
 
 def one_hot(spark, d):
@@ -328,7 +328,7 @@ def ordinal(spark, d):
 def plain_ordinal(spark, d):
     df = dirty_lineitem(spark, d).select("orderkey", "partkey", "suppkey", "quantity", "returnflag")
     m = PlainPreprocessor(inputCols=["quantity", "returnflag"], encoding="ordinal").fit(df)
-    return _rounded(m.transform(df))
+    return _rounded(m.transform(df), 4)
 
 
 def one_hot_capped(spark, d):

@@ -58,11 +58,41 @@ def incomplete_beta(a: float, b: float, x: float, y: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, y) / b
 
 
+def upper_gamma(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function Q(a, x)."""
+    if x <= 0.0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1.0:
+        term = total = 1.0 / a
+        k = a
+        while abs(term) > abs(total) * 1e-17:
+            k += 1.0
+            term *= x / k
+            total += term
+        return 1.0 - front * total
+    b = x + 1.0 - a
+    c, d = 1e300, 1.0 / b
+    h = d
+    for i in range(1, 10_000):
+        step = -i * (i - a)
+        b += 2.0
+        d = 1.0 / (step * d + b)
+        c = b + step / c
+        h *= d * c
+        if abs(d * c - 1.0) < 1e-16:
+            break
+    return front * h
+
+
 def f_upper_tail(f: float, df_between: float, df_within: float) -> float:
     """P(F >= f)."""
     if f <= 0.0:
         return 1.0
     if math.isinf(f):
         return 0.0
+    if df_within > 1e8:
+        # The chi-squared limit; its relative error is of the order 1 / df_within.
+        return upper_gamma(df_between / 2.0, df_between * f / 2.0)
     total = df_within + df_between * f
     return incomplete_beta(df_within / 2.0, df_between / 2.0, df_within / total, df_between * f / total)

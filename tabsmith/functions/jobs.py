@@ -42,3 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs and lost executors see the very same rows."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A report of a few rows (one per column, class or rule) as a local table.
+
+    Reports are derived from each other; without this every one would repeat the work
+    of those before it. Never used on data rows.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

@@ -36,10 +36,14 @@ class Comparison:
                 for c in self.original.columns
             ]
         )
-        self.before, self.after, self.raw_missing = together(
-            lambda: table_stats(self.raw, numeric_values=False, text_values=True),
-            lambda: table_stats(self.clean, numeric_values=False, text_values=True),
-            lambda: table_stats(self.original, numeric_values=False, text_values=False, quantiles=False),
+        self.before, self.after = together(
+            lambda: table_stats(self.raw, numeric_values=False),
+            lambda: table_stats(self.clean, numeric_values=False),
+        )
+        # Text that is no number counts as missing in the statistics, not in the raw table.
+        converted = any(c in self.numeric and not is_numeric(types[c]) for c in self.common)
+        self.raw_missing = (
+            table_stats(self.original, numeric_values=False, text_values=False, quantiles=False) if converted else self.before
         )
 
     def _outliers(self, s: ColumnStats) -> int:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_text, col, nan_to_null
+from tabsmith.functions.jobs import pinned
 from tabsmith.operators.autoconfig import detect_leakage, resolve_target
 from tabsmith.operators.metrics import classification_metrics, confusion_counts, confusion_matrix, full_class_report
 from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor
@@ -238,22 +239,14 @@ def fit_learner(prepared: DataFrame, features: list[str], learner, stages: list,
     return PipelineModel([*stages, scaler, assembler, fitted, *tail])
 
 
-def hybrid_features(
-    train: DataFrame, inputs: list[str], leakage: list[str], specs: list[dict], target: str, thresholds: dict, clock: Clock
+def train_hybrid(
+    train: DataFrame, inputs: list[str], leakage: list[str], specs: list[dict], target: str, learner, thresholds: dict, clock: Clock
 ):
     """Fit plan, ratio features and selection on the train rows (which carry LABEL)."""
     with clock.measure("preprocessing_sec"):
-        pre = HybridPreprocessor(inputCols=inputs, leakageColumns=leakage, **thresholds).fit(train.select(*[col(c) for c in inputs]))
+        pre = HybridPreprocessor(inputCols=inputs, leakageColumns=leakage, **thresholds).fit(train)
     names_pre = pre.feature_names
-    frame = pre.transform(train)
-    return pre, names_pre, frame
-
-
-def train_hybrid(
-    train: DataFrame, inputs: list[str], leakage: list[str], specs: list[dict], target: str, learner, thresholds: dict, clock: Clock
-):
-    pre, names_pre, frame = hybrid_features(train, inputs, leakage, specs, target, thresholds, clock)
-    with stored(frame) as prepared:
+    with stored(pre.transform(train)) as prepared:
         chain: list = [pre]
         ratios = None
         candidates = list(names_pre)
@@ -307,11 +300,6 @@ def evaluate(model: TrainedModel, test: DataFrame, label: Column, clock: Clock)
     return {"metrics": metrics, "confusion": matrix, "class_report": full_class_report(named)}
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """A result of a few rows (metrics, confusion counts) as a local table."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def feature_importance(model: TrainedModel, mode: str = "first_class", top: int = 20) -> DataFrame:
     """Impurity decrease of trees, absolute coefficients of linear models; share in %.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import percent
+from tabsmith.functions.jobs import pinned
 from tabsmith.operators.stats import TableStats
 from tabsmith.plans.names import LEAKAGE_NAMES, normal
 
@@ -234,7 +235,7 @@ def decision_plan(
         .otherwise(F.col("unique_count") <= 1)
         .alias("constant"),
     )
-    judged = base.withColumn("evaluation", _status_rules(leakage)).withColumn(
+    judged = pinned(base.withColumn("evaluation", _status_rules(leakage))).withColumn(
         "status",
         F.element_at(
             F.create_map(*[F.lit(x) for kv in STATUS_BY_RULE.items() for x in kv]), F.col("evaluation.rule_id")
@@ -261,9 +262,11 @@ def decision_plan(
             F.element_at(actions, 3),
         ),
     ).otherwise(F.concat_ws(" -> ", actions))
-    return plan.withColumn(
-        "summary_rationale", F.when(F.col("is_usable"), rationale).otherwise(F.col("evaluation.reason"))
-    ).drop("evaluation", "constant", "nested", "text_bytes")
+    return pinned(
+        plan.withColumn(
+            "summary_rationale", F.when(F.col("is_usable"), rationale).otherwise(F.col("evaluation.reason"))
+        ).drop("evaluation", "constant", "nested", "text_bytes")
+    )
 
 
 def decision_trace(plan: DataFrame) -> DataFrame:

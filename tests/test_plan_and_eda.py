@@ -100,16 +100,17 @@ def test_histogram_of_constant_and_outlier_sample(spark):
     assert box["outliers_sample"] == [900.0 + i for i in range(10)]
 
 
-def test_block_correlation_equals_aggregates_with_nulls(spark, monkeypatch):
+def test_correlations_with_and_without_missing_values(spark, monkeypatch):
     df = spark.range(400).selectExpr(
         "if(id % 5 = 0, null, id * 1.0) as a", "if(id % 7 = 0, null, cast(id * id % 31 as double)) as b",
         "cast(id % 11 as double) as c", "cast(id % 2 as double) + id / 500 as e").repartition(5)
-    s = table_stats(df)
-    plain = {(r[1], r[3]): r[4] for r in correlation.correlations(df, s)}
+    want = df.toPandas().astype(float).corr()
+    got = correlation.correlations(df, table_stats(df))
+    assert len(got) == 6 and all(r == pytest.approx(want.loc[x, y], abs=1e-10) for _, x, _, y, r in got)
+    full = df.select("c", "e")
+    plain = correlation.correlations(full, table_stats(full))[0][4]
     monkeypatch.setattr(correlation, "PAIRWISE_COLUMNS", 1)
-    block = {(r[1], r[3]): r[4] for r in correlation.correlations(df, s)}
-    assert plain.keys() == block.keys() and len(plain) == 6
-    assert all(plain[k] == pytest.approx(block[k], abs=1e-10) for k in plain)
+    assert correlation.correlations(full, table_stats(full))[0][4] == pytest.approx(plain, abs=1e-12)
     # A pair whose complete rows are constant has no correlation and raises nothing.
     gap = spark.createDataFrame([(1.0, 5.0), (1.0, 6.0), (2.0, None)], "x double, y double")
     assert correlation.correlations(gap, table_stats(gap))[0][4] is None
