@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_double, as_text, chunks, col, is_numeric, nan_to_null
+from tabsmith.operators.profile import target_profile
 from tabsmith.operators.stats import COLUMNS_PER_PASS, TableStats, table_stats
 from tabsmith.plans import names
 
@@ -254,6 +255,20 @@ def known_leakage(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string")
 
 
+def target_overview(df: DataFrame, target: str | None = None) -> tuple[DataFrame | None, TargetChoice | None]:
+    """Class profile of the given, hinted or detected target, and how it was chosen."""
+    choice = None
+    if target is None:
+        hints = names.DOMAIN_PROFILES["supply_chain"]["target_hints"]
+        target = next((c for c in df.columns if names.normal(c) in hints), None)
+    if target is None:
+        choice = detect_target(df)
+        target = choice.column or choice.detected_column
+    if target is None or target not in df.columns:
+        return None, choice
+    return target_profile(nan_to_null(df), target), choice
+
+
 @dataclass
 class AutoConfig:
     target: TargetChoice

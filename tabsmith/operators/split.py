@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.expr import as_text, col, is_nested
+from tabsmith.functions.expr import as_text, col, is_nested, nan_to_null
 from tabsmith.functions.jobs import checkpointed
 from tabsmith.functions.quantiles import select_ranks
 
@@ -21,7 +21,8 @@ RID = "_tabsmith_row"
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
-    return df.filter(col(target).isNotNull() & ~F.coalesce(col(target).cast("string") == "NaN", F.lit(False)))
+    """Rows with a target; NaN counts as missing."""
+    return nan_to_null(df).filter(col(target).isNotNull())
 
 
 def class_counts(df: DataFrame, target: str) -> dict:

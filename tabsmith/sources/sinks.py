@@ -29,3 +29,11 @@ def cleaned_name(source: str) -> str:
     """Name of the cleaned export of a file."""
     base = source.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return f"cleaned_{base}.csv"
+
+
+def export_training_result(result, path: str, mode: str = "overwrite") -> None:
+    """Metrics, leading importances, confusion counts and class report of one model as JSON."""
+    result.metrics.write.mode(mode).json(f"{path}/metrics")
+    result.importance.filter("rank <= 15").write.mode(mode).json(f"{path}/importance")
+    result.confusion.write.mode(mode).json(f"{path}/confusion")
+    result.class_report.write.mode(mode).json(f"{path}/class_report")

@@ -55,3 +55,12 @@ def test_name_rules():
     assert names.ratio_specs(["Total_Profit", "revenue"])[0]["name"] == "profit_to_revenue_ratio"
     profile = names.domain_profile("supply_chain", [])
     assert names.class_labels(profile, [0, 1, "2"]) == {0: "On-Time Delivery", 1: "Late Delivery Risk", "2": "2"}
+
+
+def test_target_overview(spark):
+    df = spark.range(40).selectExpr("rand(1) as x", "id % 2 as Late_Delivery_Risk", "id % 4 as level")
+    table, choice = ac.target_overview(df)
+    assert choice is None and {r["class_count"] for r in table.collect()} == {20}
+    table, choice = ac.target_overview(df.drop("Late_Delivery_Risk"))
+    assert choice.detected_column == "level" and table.count() == 4
+    assert ac.target_overview(df.select("x"))[0] is None

@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import benchmark, models
 from tabsmith.operators.models import TrainedModel, train_model
-from tabsmith.sources.sinks import export_table
+from tabsmith.operators.prepare import prepare_dataset
+from tabsmith.sources.sinks import export_table, export_training_result
 from tabsmith.streaming.scoring import read_file_stream, score_stream
 
 
@@ -32,8 +33,10 @@ def test_learners(spark, shipments, kind):
     assert r.importance.count() == min(20, len(r.model.features))
 
 
-def test_leakage_is_found_and_result_is_reproducible(spark, shipments):
+def test_leakage_is_found_and_result_is_reproducible(spark, shipments, tmp_path):
     a = train_model(shipments, "decision_tree", "Late_delivery_risk", key=["id"])
+    export_training_result(a, str(tmp_path / "result"))
+    assert spark.read.json(str(tmp_path / "result" / "metrics")).count() == 1
     b = train_model(shipments.repartition(3), "decision_tree", "Late_delivery_risk", key=["id"])
     assert "Delivery_Status" in a.model.leakage
     assert a.metrics.first() == b.metrics.first()
@@ -92,3 +95,14 @@ def test_bad_inputs(spark, shipments):
     rare = shipments.withColumn("rare", F.when(F.col("id") == 0, "z").when(F.col("id") % 2 == 0, "a").otherwise("b"))
     with pytest.raises(ValueError, match="rare classes"):
         benchmark.run_benchmark(rare, "rare", leakage=[])
+
+
+def test_prepare_dataset(spark, shipments):
+    p = prepare_dataset(shipments, key=["id"])
+    assert p.target == "Late_delivery_risk" and (p.train.count(), p.test.count()) == (320, 80)
+    assert p.train.columns == p.test.columns
+    assert p.cleaned.count() == 400 and "Late_delivery_risk" in p.cleaned.columns
+    assert {r["side"] for r in p.comparison.overall().collect()} == {"before", "after"}
+    assert p.class_distribution.count() == 4
+    free = prepare_dataset(shipments.drop("Late_delivery_risk"), key=["id"])
+    assert free.target is None and free.class_distribution is None and free.test.count() == 80
