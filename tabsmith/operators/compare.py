@@ -168,9 +168,10 @@ class Comparison:
         order = Window.partitionBy("column_id").orderBy(F.desc("cnt"), "value")
         # At most `top` rows per column; rank <= top is applied per task first.
         best = counted(self.raw).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-        after = counted(self.clean).withColumnRenamed("cnt", "after_cnt")
+        keys = best.select("column_id", "value")
+        after = counted(self.clean).withColumnRenamed("cnt", "after_cnt").join(F.broadcast(keys), keys.columns, "left_semi")
         names = F.array(*[F.lit(c) for c in self.categorical])
-        joined = after.join(F.broadcast(best), ["column_id", "value"], "right")
+        joined = best.join(after, ["column_id", "value"], "left")
         return joined.select(
             F.element_at(names, F.substring("column_id", 2, 10).cast("int") + 1).alias("column_name"),
             "rank", F.col("value").alias("category"), F.col("cnt").alias("before_count"),

@@ -32,12 +32,15 @@ from tabsmith.functions.expr import (
     is_numeric,
     nan_to_null,
 )
-from tabsmith.functions.jobs import together
+from tabsmith.functions.jobs import checkpointed, together
+from tabsmith.functions.joins import BROADCAST_ROWS
 from tabsmith.functions.quantiles import linear_quantiles
 
 COLUMNS_PER_PASS = 48
 # Text longer than this on average is grouped by a 128-bit digest instead of itself.
 LONG_TEXT_BYTES = 64
+# Up to this many 8-byte hashes of possibly repeated rows are broadcast.
+SUSPECT_ROWS = 1_000_000
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -315,8 +318,10 @@ def _digest_values(df: DataFrame, part: list[ColumnStats], types: dict) -> None:
     spark = df.sparkSession
     text = {i: as_text(s.column_name, types[s.column_name]) for i, s in enumerate(part)}
     counts = value_counts(df, {i: F.unhex(F.md5(t)) for i, t in text.items()}, "digest")
-    peak = counts.groupBy("column_id").agg(
-        F.count(F.lit(1)).alias("distinct"), F.max("cnt").alias("peak")
+    # How many values occur how often: gives the peak and the number of values that tie.
+    spread = counts.groupBy("column_id", "cnt").agg(F.count(F.lit(1)).alias("values"))
+    peak = spread.groupBy("column_id").agg(
+        F.sum("values").alias("distinct"), F.max("cnt").alias("peak"), F.max_by("values", "cnt").alias("ties")
     )
     found = {int(r["column_id"][1:]): r for r in peak.collect()}
     for i, s in enumerate(part):
@@ -333,6 +338,9 @@ def _digest_values(df: DataFrame, part: list[ColumnStats], types: dict) -> None:
             [(f"c{i}", found[i]["peak"]) for i in repeated], "column_id string, cnt bigint"
         )
         winners = counts.join(F.broadcast(peaks), ["column_id", "cnt"], "left_semi").select("column_id", "digest")
+        if sum(found[i]["ties"] for i in repeated) <= BROADCAST_ROWS:
+            # The texts are then filtered where they are read and never shuffled.
+            winners = F.broadcast(winners)
         wide = df.select(*[t.alias(f"c{i}") for i, t in repeated.items()])
         long = (
             wide.unpivot([], [f"c{i}" for i in repeated], "column_id", "value")
@@ -349,7 +357,8 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     Grouping whole rows would shuffle the whole table. Instead one 64-bit hash per
     row is counted; only rows whose hash occurs more than once can be repeats and
     only those are grouped by their real values, so a hash collision cannot change
-    the result. Copies are combined before each shuffle.
+    the result. With few suspect hashes the other rows are dropped where they are read;
+    with many, whole rows are grouped, where copies combine before the shuffle.
     """
     df = nan_to_null(df)
     keyed = df.select(
@@ -360,8 +369,8 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     )
     keys = keyed.columns
     hashed = keyed.withColumn("h", F.xxhash64(*[F.col(k) for k in keys]))
-    suspects = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    groups = (
-        hashed.join(suspects, "h", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    )
+    suspects = checkpointed(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    if suspects.count() <= SUSPECT_ROWS:
+        keyed = hashed.join(F.broadcast(suspects), "h", "left_semi")
+    groups = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_row_count"))

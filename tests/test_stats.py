@@ -68,7 +68,9 @@ def test_rank_selection_is_exact(spark, kind):
     assert got == {r: ordered[r] for r in ranks}
 
 
-def test_duplicates_with_nulls_and_hash_equal_rows(spark):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_duplicates_with_nulls_and_hash_equal_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(stats, "SUSPECT_ROWS", limit)
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (2, None), (3, "c")], "a int, b string")
     assert duplicate_row_count(df).first()[0] == 2
     # NULL positions do not change the row hash, so these rows collide but differ.
@@ -78,7 +80,9 @@ def test_duplicates_with_nulls_and_hash_equal_rows(spark):
     assert duplicate_row_count(hot).first()[0] == 299
 
 
-def test_long_text_is_counted_by_digest(spark):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_long_text_is_counted_by_digest(spark, monkeypatch, limit):
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", limit)
     texts = ["x" * 200 + str(i % 7) for i in range(20)] + ["y" * 300, "b" * 300, "b" * 300, "b" * 300]
     df = spark.createDataFrame([(t, t + str(i)) for i, t in enumerate(texts)], "a string, u string")
     s = table_stats(df)
