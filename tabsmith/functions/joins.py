@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.jobs import checkpointed
 
-# A side is only broadcast when it is known to have no more rows than this.
+# A side is only broadcast when it is known to stay below both limits.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # Ranks of a dictionary up to this size are computed by one window per column.
-WINDOW_ROWS = 1_000_000
+WINDOW_ROWS = 200_000
 HOT_SHARE = 200
 SALTS = 64
 
@@ -38,14 +39,20 @@ def ranked_dictionary(counts: DataFrame, total_values: int, columns: int) -> Dat
     return checkpointed(joined.select("column_id", "value", "cnt", idx.alias("idx")))
 
 
-def lookup(df: DataFrame, key: str, dictionary: DataFrame, rows: int, hot: list[str], out: str) -> DataFrame:
+def fits_broadcast(rows: int, size: int) -> bool:
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def lookup(
+    df: DataFrame, key: str, dictionary: DataFrame, rows: int, size: int, hot: list[str], out: str
+) -> DataFrame:
     """Left join ``df[key]`` with ``dictionary(value, idx)`` into column ``out``.
 
     Small dictionaries are broadcast. For large ones both sides are shuffled, and the
     values that hold a large share of the rows are spread over salted copies.
     """
     entries = dictionary.select(F.col("value").alias("_dk"), F.col("idx").alias(out))
-    if rows <= BROADCAST_ROWS:
+    if fits_broadcast(rows, size):
         return df.join(F.broadcast(entries), df[key] == F.col("_dk"), "left").drop("_dk")
     if not hot:
         return df.join(entries, df[key] == F.col("_dk"), "left").drop("_dk")

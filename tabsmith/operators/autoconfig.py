@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_double, as_text, chunks, col, is_numeric, nan_to_null
 from tabsmith.operators.profile import target_profile
+from tabsmith.operators.split import class_counts
 from tabsmith.operators.stats import COLUMNS_PER_PASS, TableStats, table_stats
 from tabsmith.plans import names
 
@@ -342,8 +343,7 @@ def resolve_target(df: DataFrame, target: str | None = None, profile: str | None
             raise ValueError(f"Target column could not be determined automatically; columns: {df.columns[:10]}.")
     if names.is_geographic(found):
         raise ValueError(f"Invalid target column '{found}': geographical columns cannot be the target.")
-    values = nan_to_null(df.select(col(found).alias("y"))).filter("y is not null").distinct().collect()
-    classes = sorted(r["y"] for r in values)
+    classes = [c for c in class_counts(nan_to_null(df.select(col(found))), found) if c is not None]
     if not classes:
         raise ValueError(f"Target column '{found}' contains only missing values.")
     if len(classes) < 2:

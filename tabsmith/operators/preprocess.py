@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_double, as_text, chunks, col, finite, is_numeric, nan_to_null
 from tabsmith.functions.jobs import together
-from tabsmith.functions.joins import HOT_SHARE, WINDOW_ROWS, lookup, ranked_dictionary
+from tabsmith.functions.joins import HOT_SHARE, fits_broadcast, lookup, ranked_dictionary
 from tabsmith.functions.quantiles import linear_quantiles
 from tabsmith.operators.stats import COLUMNS_PER_PASS, QUARTILES, moments, outside, table_stats, value_counts
 from tabsmith.plans.rules import Thresholds, decision_plan, decision_trace
@@ -161,7 +161,7 @@ class DictionaryModel(StateModel):
         for i, e in enumerate(entries):
             key = f"_key{i}"
             known = self.dictionary.filter(F.col("column_id") == e["name"])
-            df = lookup(df.withColumn(key, text[e["name"]]), key, known, e["rows"], e["hot"], f"_idx{i}").drop(key)
+            df = lookup(df.withColumn(key, text[e["name"]]), key, known, e["rows"], e["bytes"], e["hot"], f"_idx{i}").drop(key)
         return df
 
 
@@ -192,15 +192,20 @@ def fit_dictionary(
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.substring("column_id", 2, 10).cast("int") + 1)
     counts = counts.withColumn("column_id", label)
     dictionary = ranked_dictionary(counts, sum(sizes[n] + 1 for n in names), len(names))
+    # One row per column: how large each dictionary really is.
+    facts = dictionary.groupBy("column_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")
+    )
+    measured = {r["column_id"]: r for r in facts.collect()}
     entries = []
     for n in names:
-        rows = sizes[n] + (1 if missing is not None else 0)
+        rows, size = (measured[n]["rows"], measured[n]["bytes"]) if n in measured else (0, 0)
         hot: list[str] = []
-        if rows > WINDOW_ROWS // 10:
+        if not fits_broadcast(rows, size):
             # Fewer than HOT_SHARE values can each hold more than 1 / HOT_SHARE of the rows.
             often = dictionary.filter((F.col("column_id") == n) & (F.col("cnt") * HOT_SHARE > n_rows))
             hot = [r["value"] for r in often.select("value").collect()]
-        entries.append({"name": n, "rows": rows, "hot": hot})
+        entries.append({"name": n, "rows": rows, "bytes": size, "hot": hot})
     return dictionary, entries
 
 

@@ -18,6 +18,7 @@ from tabsmith.functions.jobs import checkpointed
 from tabsmith.functions.quantiles import select_ranks
 
 RID = "_tabsmith_row"
+MAX_CLASSES = 10_000
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
@@ -26,8 +27,11 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
-    """Rows per class; one entry per class reaches the driver."""
-    rows = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    """Rows per class; refuses a target that is no set of classes."""
+    grouped = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rows = grouped.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} distinct values, which are no classes.")
     return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: (r["y"] is None, r["y"]))}
 
 

@@ -4,7 +4,6 @@ import pytest
 from pyspark.ml import PipelineModel
 
 from tabsmith.functions import joins
-from tabsmith.operators import preprocess
 from tabsmith.operators.compare import Comparison
 from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor, HybridPreprocessorModel, PlainPreprocessor, require_numeric
 
@@ -102,7 +101,6 @@ def test_large_dictionary_paths_equal_small_ones(spark, monkeypatch):
     want = sorted(r["t_ordinal"] for r in small.transform(df).collect())
     monkeypatch.setattr(joins, "WINDOW_ROWS", 10)
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    monkeypatch.setattr(preprocess, "WINDOW_ROWS", 10)
     large = HybridPreprocessor(inputCols=["t"]).fit(df)
     assert large.fitted["ordinal"][0]["hot"] == ["hot"]
     out = large.transform(df)

@@ -50,6 +50,12 @@ def test_rare_and_missing_classes(spark):
         split.predictors(df, "y", ["id"])
 
 
+def test_continuous_target_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_CLASSES", 50)
+    with pytest.raises(ValueError, match="no classes"):
+        split.class_counts(spark.range(100), "id")
+
+
 def brute_auc(pairs):
     pos = [s for t, s in pairs if t]
     neg = [s for t, s in pairs if not t]
