@@ -81,10 +81,8 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def finite(c: Column) -> Column:
-    """NULL, NaN and both infinities become 0.0."""
-    return F.when(
-        c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(0.0)
-    ).otherwise(c)
+    """NULL, NaN and both infinities become 0.0 (NaN sorts above infinity)."""
+    return F.when(F.abs(c) < F.lit(float("inf")), c).otherwise(F.lit(0.0))
 
 
 def percent(part: Column, whole: Column) -> Column:

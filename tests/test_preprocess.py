@@ -107,6 +107,13 @@ def test_large_dictionary_paths_equal_small_ones(spark, monkeypatch):
     assert out.count() == 3000 and sorted(r["t_ordinal"] for r in out.collect()) == want
 
 
+def test_finite_guard(spark):
+    odd = [float("nan"), float("inf"), float("-inf"), None, -1.5]
+    df = spark.createDataFrame([(v, "k") for v in odd], "x double, key string")
+    out = FiniteGuard(inputCols=["x", "absent"]).transform(df)
+    assert [r["x"] for r in out.collect()] == [0.0, 0.0, 0.0, 0.0, -1.5] and out.columns == ["key", "x", "absent"]
+
+
 def test_numeric_check(spark):
     df = spark.createDataFrame([(1, "a")], "x int, bad string")
     with pytest.raises(ValueError, match="bad"):
