@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsmith.catalog.tables import DIRTY, DOUBLED, EVENTS, FLAGGED, LABELLED, ORDER_FACTS, SCORED
+from tabsmith.catalog.tables import DIRTY, DOUBLED, EVENTS, FLAGGED, LABELLED, SCORED
 
 LINE_NUM = ["orderkey", "partkey", "suppkey", "linenumber", "quantity", "price", "discount", "tax"]
 LINE_TEXT = ["returnflag", "linestatus"]

@@ -122,7 +122,3 @@ scored AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS truth, (c % 1000) / 100
  CAST((c % 1000) / 1000.0 >= 0.5 AS INTEGER) AS predicted, l_returnflag AS flag,
  CASE l_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag_predicted,
  (c % 700) / 700.0 AS p_a, (c % 300) / 300.0 AS p_n, (c % 110) / 110.0 AS p_r FROM cents)"""
-ORDER_FACTS = """
-facts AS (SELECT o_orderkey, o_totalprice, c_acctbal, c_mktsegment, c_nationkey, o_orderpriority, o_orderstatus,
- CAST(o_totalprice > c_acctbal * 20 + 150000 AS INTEGER) AS large_order_flag
- FROM orders JOIN customer ON o_custkey = c_custkey)"""

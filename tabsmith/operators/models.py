@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tabsmith.functions.expr import as_text, col, nan_to_null
 from tabsmith.functions.jobs import pinned
 from tabsmith.operators.autoconfig import detect_leakage, resolve_target
-from tabsmith.operators.metrics import classification_metrics, confusion_counts, confusion_matrix, full_class_report
+from tabsmith.operators.metrics import classification_metrics, confusion_counts, full_class_report
 from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor
 from tabsmith.operators.ratios import RatioFeatures
 from tabsmith.operators.selection import FeatureSelector
