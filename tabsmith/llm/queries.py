@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import op2_packing, op8_language, op10_tokens
+from tabsmith.llm import op2_packing, op6_mixing, op7_urls, op8_language, op10_tokens
 from tabsmith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
 
 
 def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +27,18 @@ def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
 
 
+def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the mix of sources takes."""
+    mixed = op6_mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL, judged by rules or else by the classifier."""
+    judged = op7_urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; fold 2 of 4 is held out of training."""
     docs = table(spark, sf_dir, "documents")
@@ -38,10 +57,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing_ffd": op2_packing_ffd,
+        "op6_mixing_es": op6_mixing_es,
+        "op7_url_filter": op7_url_filter,
         "op8_language_ppm": op8_language_ppm,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing_es": op6_mixing.MIX_SQL}
