@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import op2_packing, op6_mixing, op7_urls, op8_language, op10_tokens
+from tabsmith.llm import op2_packing, op4_toxicity, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
 from tabsmith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,13 @@ def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
 
 
+def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; fold 0 of 5 is held out of training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = op4_toxicity.train(docs, labels.where(~op4_toxicity.folds()))
+    return op4_toxicity.score(docs, model).select("doc_id", op4_toxicity.folds().alias("held_out"), "score", "predicted")
+
+
 def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix of sources takes."""
     mixed = op6_mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3)
@@ -47,6 +54,11 @@ def op8_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", op8_language.folds().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op9_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and repetition of every document."""
+    return op9_repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and how much of it fits the limit."""
     counted = op10_tokens.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), budgets=(TOKEN_LIMIT,))
@@ -57,9 +69,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing_ffd": op2_packing_ffd,
+        "op4_toxicity_nb": op4_toxicity_nb,
         "op6_mixing_es": op6_mixing_es,
         "op7_url_filter": op7_url_filter,
         "op8_language_ppm": op8_language_ppm,
+        "op9_suffix_repetition": op9_suffix_repetition,
         "op10_token_counts": op10_token_counts,
     }
 
