@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,29 @@ def sums(values: np.ndarray, starts: np.ndarray, dtype=np.int64) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors, once per context: tasks import it, and machines of a cluster may not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_tabsmith_sent", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tabsmith-"), "tabsmith.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tabsmith", os.path.relpath(path, top)))
+    context.addPyFile(archive)
+    context._tabsmith_sent = True
+
+
+def in_batches(df: DataFrame, step: Callable, schema) -> DataFrame:
+    """`mapInArrow` of a step that uses this library."""
+    ship(df.sparkSession)
+    return df.mapInArrow(step, schema)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's checkpoint folder; it goes when the driver's JVM ends."""
     folder = f"{checkpoint_folder(spark).rstrip('/')}/tabsmith-{uuid.uuid4().hex}"

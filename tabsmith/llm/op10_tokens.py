@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import raw, slices
+from tabsmith.llm.common import in_batches, raw, slices
 from tabsmith.llm.tokens import WordTokenizer, tokenizer_text, word_tokenizer
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -103,4 +103,4 @@ def prefix_counts(
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(count, T.StructType(fields))
+    return in_batches(docs.select(id_col, text_col), count, T.StructType(fields))

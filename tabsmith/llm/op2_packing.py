@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import raw, slices
+from tabsmith.llm.common import in_batches, raw, slices
 from tabsmith.llm.tokens import tokenizer_text, word_tokenizer
 
 #: Documents of a group, on average. A group is packed in one task; its pieces are a few numbers each.
@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(owner)), *columns], names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(cut, T.StructType(fields))
+    return in_batches(docs.select(id_col, text_col), cut, T.StructType(fields))
 
 
 def pack(

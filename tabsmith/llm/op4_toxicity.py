@@ -16,10 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import crc_mod, raw, slices, stored
+from tabsmith.llm.common import crc_mod, in_batches, raw, slices, stored
 
 #: Lengths of the n-grams, and bits of their hash.
-GRAMS = (3, 4, 5)
+GRAMS = (3, 5, 7)
 BITS = 18
 #: Features of the classifier, and training texts of each class at most (by a hash of their ids).
 FEATURES = 2048
@@ -31,7 +31,7 @@ STEPS = 200
 #: Characters that are hashed at once.
 BLOCK = 1 << 19
 #: Odd multipliers of a gram's characters.
-_FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+_FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5)]
 
 
 def gram_numbers(letters: np.ndarray) -> np.ndarray:
@@ -118,7 +118,7 @@ def train(
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     ids = known.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= sample_texts)
     # At most two times sample_texts ids.
-    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id", "label")), "id").select("label", "text"))
+    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id", "label")), "id").select("label", "text").dropDuplicates())
 
     def counts(batches):
         total = np.zeros((2, 1 << BITS), np.int64)
@@ -130,7 +130,7 @@ def train(
         at = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["gram", "other", "toxic"])
 
-    tally = sample.mapInArrow(counts, "gram long, other long, toxic long").groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
+    tally = in_batches(sample, counts, "gram long, other long, toxic long").groupBy("gram").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     place = np.full(1 << BITS, -1, np.int32)
     if len(sizes) < 2 or not tally.num_rows:
@@ -152,7 +152,7 @@ def train(
                 rows.append(found[found >= 0].tolist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "features"])
 
-    seen = sample.mapInArrow(chosen, "label int, features array<int>").orderBy("label", F.xxhash64("features")).toArrow()
+    seen = in_batches(sample, chosen, "label int, features array<int>").orderBy("label", F.xxhash64("features")).toArrow()
     y = seen.column("label").to_numpy().astype(np.float32)
     x = np.zeros((len(y), len(best)), np.float32)
     scale = ratio[best].astype(np.float32)
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
             scores = sent.value.scores(raw(batch.column(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(judge, schema)
+    return in_batches(docs.select(id_col, text_col), judge, schema)
 
 
 def folds(id_col: str = "doc_id"):

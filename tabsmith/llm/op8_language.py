@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import crc_mod, flat, slices
+from tabsmith.llm.common import crc_mod, flat, in_batches, slices
 
 #: Training documents of each language at most, in the order of a hash of their ids.
 SAMPLE_DOCUMENTS = 400
@@ -165,7 +165,7 @@ def train(
                 found, times = np.unique(code[of == k], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found), pa.array(times)], names=["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = in_batches(sample, grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     number = {x: k for k, x in enumerate(names)}
     language = np.array([number[x] for x in counted.column("lang").to_pylist()], np.int64)
@@ -206,7 +206,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             columns = [pa.array(chosen, pa.string()), pa.array(np.where(known, sure, 0.0)), pa.array(least / np.maximum(size, 1), mask=size == 0)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[f.name for f in fields])
 
-    return docs.select(*names, F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter")).mapInArrow(score, T.StructType(fields))
+    rows = docs.select(*names, F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter"))
+    return in_batches(rows, score, T.StructType(fields))
 
 
 def has_letter(text_col: str) -> Column:

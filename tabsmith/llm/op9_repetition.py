@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import flat, raw, slices, sums
+from tabsmith.llm.common import flat, in_batches, raw, slices, sums
 
 #: Shortest repeat that counts, in words, and what a kept text may have of them.
 LEAST_WORDS = 6
-MOST_COVERED = 0.3
+MOST_COVERED = 0.35
 MOST_LONGEST = 150
 #: Symbols that mark poor text.
 SYMBOLS = b"#*$%&|<>"
@@ -135,4 +135,4 @@ def repetition(
             columns = [n_words, sums(_LETTER[data], starts), sums(_SYMBOL[data], starts), np.array(lines, np.int64), triples, failed, kept, part, top]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *map(pa.array, columns)], names=[f.name for f in fields])
 
-    return docs.select(id_col, text_col).mapInArrow(measure, T.StructType(fields))
+    return in_batches(docs.select(id_col, text_col), measure, T.StructType(fields))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import op2_packing, op4_toxicity, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
+from tabsmith.llm import op2_packing, op3_neardup, op4_toxicity, op5_substrings, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
 from tabsmith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,6 +27,12 @@ def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document; one of each class stays."""
+    classes = op3_neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; fold 0 of 5 is held out of training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -34,6 +40,11 @@ def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_toxicity.score(docs, model).select("doc_id", op4_toxicity.folds().alias("held_out"), "score", "predicted")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier one holds."""
+    return op5_substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing_es(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document the mix of sources takes."""
     mixed = op6_mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most=3)
@@ -69,7 +80,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing_ffd": op2_packing_ffd,
+        "op3_minhash_neardup": op3_minhash_neardup,
         "op4_toxicity_nb": op4_toxicity_nb,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_mixing_es": op6_mixing_es,
         "op7_url_filter": op7_url_filter,
         "op8_language_ppm": op8_language_ppm,
