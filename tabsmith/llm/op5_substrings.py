@@ -174,4 +174,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages taken out; documents of which no word is left go."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     left = remove_repeats(docs, carry=carry)
-    return left.where((F.col("removed_bytes") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    left = left.where((F.col("removed_bytes") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("removed_bytes") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)

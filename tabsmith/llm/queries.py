@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsmith.llm import op2_packing, op3_neardup, op4_toxicity, op5_substrings, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
+from tabsmith.llm import op1_multi_index, op2_packing, op3_neardup, op4_toxicity, op5_substrings, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
 from tabsmith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +23,11 @@ URL_RULES = [
 ]
 
 
+def op1_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return op1_multi_index.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
     return op2_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=4096, end_id=2)
@@ -79,6 +85,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_multi_index_search": op1_multi_index_search,
         "op2_packing_ffd": op2_packing_ffd,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op4_toxicity_nb": op4_toxicity_nb,
@@ -92,4 +100,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing_es": op6_mixing.MIX_SQL}
+    sql = {"op6_mixing_es": op6_mixing.MIX_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
