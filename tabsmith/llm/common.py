@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,21 @@ def sums(values: np.ndarray, starts: np.ndarray, dtype=np.int64) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+#: Holds all columns that an operator only passes on, so that no name of theirs meets one of its own.
+CARRIED = "carried_columns"
+
+
+def packed(docs: DataFrame, own: Sequence[str]) -> DataFrame:
+    """The columns `own`, and all others in one struct."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(rest or [F.lit(True).alias("none")])).alias(CARRIED))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], own: Sequence[str]) -> DataFrame:
+    """The columns as they were before `packed`."""
+    return df.select(*[F.col(c) if c in own else F.col(CARRIED).getField(c).alias(c) for c in columns])
+
+
 def ship(spark: SparkSession) -> None:
     """Send the library to the executors, once per context: tasks import it, and machines of a cluster may not have it."""
     context = spark.sparkContext

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import flat, in_batches, raw, slices
+from tabsmith.llm.common import CARRIED, flat, in_batches, packed, raw, slices, unpacked
 
 #: Chunks have `LEAST` to `MOST` bytes, and on average one cut in 2 ** CUT_BITS bytes from `LEAST` on.
 LEAST, MOST, CUT_BITS = 16, 512, 5
@@ -172,9 +172,9 @@ def remove_repeats(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "d
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeated passages taken out; documents of which no word is left go."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = remove_repeats(docs, carry=carry)
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    left = remove_repeats(packed(docs, own), carry=(*own[2:], CARRIED))
     left = left.where((F.col("removed_bytes") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("removed_bytes") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return unpacked(left, docs.columns, own)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import WORD, stored
+from tabsmith.llm.common import CARRIED, WORD, packed, stored, unpacked
 
 #: Buckets of keys in each source; the last one taken is sorted.
 BUCKETS = 4096
@@ -132,8 +132,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix: each row as often as the mix takes it."""
-    seen = mix(docs, carry=docs.columns, **options).where(F.col("copies") > 0)
-    return seen.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    own = ["doc_id", "text", "source"]
+    seen = mix(packed(docs, own), carry=("text", CARRIED), **options).where(F.col("copies") > 0)
+    repeated = seen.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return unpacked(repeated, docs.columns, own)
 
 
 #: The mix of the registered query over `documents`, for DuckDB.

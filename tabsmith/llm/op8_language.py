@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import crc_mod, flat, in_batches, slices
+from tabsmith.llm.common import CARRIED, crc_mod, flat, in_batches, packed, slices, unpacked
 
 #: Training documents of each language at most, in the order of a hash of their ids.
 SAMPLE_DOCUMENTS = 400
@@ -221,6 +221,7 @@ def folds(id_col: str = "doc_id") -> Column:
 
 def keep_languages(docs: DataFrame, model: LanguageModel, most_bits: float = MOST_BITS) -> DataFrame:
     """The documents whose language is known: not `und`, and at most `most_bits` bits a byte under the best language."""
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    seen = identify(docs, model, carry=carry)
-    return seen.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= most_bits)).select(*docs.columns)
+    own = ["doc_id", "text"]
+    seen = identify(packed(docs, own), model, carry=("text", CARRIED))
+    known = seen.where((F.col("lang_pred") != UNDETERMINED) & (F.col("bits_per_byte") <= most_bits))
+    return unpacked(known, docs.columns, own)
