@@ -24,7 +24,8 @@ def together(*thunks) -> list:
 def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder for reliable checkpoints, as the cluster names it.
 
-    Only where nothing is configured (tests on one machine) a temporary folder is set.
+    Where nothing is configured, a session on one machine gets a temporary folder; on a cluster, whose
+    executors do not share their disks, it is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -33,6 +34,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = os.path.join(tempfile.gettempdir(), "tabsmith-checkpoints")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabsmith.functions.expr import as_double, as_text, chunks, col, is_numeric, nan_to_null
 from tabsmith.operators.profile import target_profile
@@ -153,7 +154,8 @@ def detect_target(df: DataFrame, stats: TableStats | None = None, top: int = 8)
 def correlation_with_target(df: DataFrame, features: list[str], target: str) -> dict[str, float]:
     """|r| with a numeric target over complete rows; 0.0 where it is not defined."""
     out = {}
-    y = as_double(target)
+    # A boolean target counts as 0 and 1.
+    y = col(target).cast("int").cast("double") if isinstance(df.schema[target].dataType, T.BooleanType) else as_double(target)
     for part in chunks(features, 12):
         aggs = [
             F.struct(F.regr_count(as_double(f), y).alias("n"), F.regr_syy(as_double(f), y).alias("xx"),
@@ -216,7 +218,7 @@ def detect_leakage(
     if target is not None and target in df.columns:
         types = {f.name: f.dataType for f in df.schema.fields}
         open_ = [s for s in others if s.column_name not in found and not s.nested]
-        if is_numeric(types[target]):
+        if is_numeric(types[target]) or isinstance(types[target], T.BooleanType):
             rs = correlation_with_target(df, [s.column_name for s in open_ if s.numeric], target)
             for s in open_:
                 r = rs.get(s.column_name, 0.0)

@@ -102,6 +102,11 @@ def roc_auc_by_class(scored: DataFrame, truth: str, scores: dict[object, Column]
     )
     long = scored.select(F.inline(items)).filter("score is not null and hit is not null")
     tally = long.groupBy("k", "score").agg(F.sum("hit").alias("pos"), F.sum(F.lit(1) - F.col("hit")).alias("neg"))
+    return auc_of_tally(tally, parts)
+
+
+def auc_of_tally(tally: DataFrame, parts: int) -> DataFrame:
+    """ROC area per class from (k, score, pos, neg) counts; products of counts are taken as doubles."""
     ranged = tally.repartitionByRange(parts, "k", "score").withColumn("part", F.spark_partition_id())
     inner = Window.partitionBy("part", "k").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("above", F.coalesce(F.sum("pos").over(inner), F.lit(0)))
@@ -111,11 +116,11 @@ def roc_auc_by_class(scored: DataFrame, truth: str, scores: dict[object, Column]
     outer = Window.partitionBy("k").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     placed = by_part.withColumn("before", F.coalesce(F.sum("pos").over(outer), F.lit(0)))
     total = placed.groupBy("k").agg(
-        F.sum(F.col("wins") + F.col("neg") * F.col("before")).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+        F.sum(F.col("wins") + F.col("neg").cast("double") * F.col("before")).alias("wins"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
     return total.select(
         F.col("k").alias("class_index"),
-        F.try_divide(F.col("wins").cast("double"), (F.col("pos") * F.col("neg")).cast("double")).alias("auc"),
+        F.try_divide(F.col("wins").cast("double"), F.col("pos").cast("double") * F.col("neg")).alias("auc"),
     )
 
 

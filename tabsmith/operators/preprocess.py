@@ -9,6 +9,7 @@ batch, on a stream and after a reload.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
@@ -133,6 +134,25 @@ def categories_of(df: DataFrame, names: list[str], missing: str | None = None) -
     return {n: sorted(v) for n, v in out.items()}
 
 
+def safe_names(labels: list[str]) -> list[str]:
+    """Column names for feature labels: none holds a dot or backtick, and no two are the same, whatever their case.
+
+    Most labels are their own names; the others get "_" for these characters and a number where names meet.
+    """
+    names: list[str] = []
+    taken = {x.lower() for x in labels if not re.search("[.`]", x)}
+    seen: set[str] = set()
+    for label in labels:
+        plain = re.sub("[.`]", "_", label)
+        name, n = plain, 1
+        while name.lower() in seen or (name != label and name.lower() in taken):
+            n += 1
+            name = f"{plain}_{n}"
+        seen.add(name.lower())
+        names.append(name)
+    return names
+
+
 def one_hot(c: Column, category: str) -> Column:
     return F.when(c == F.lit(category), F.lit(1.0)).otherwise(F.lit(0.0))
 
@@ -277,6 +297,12 @@ class HybridPreprocessorModel(DictionaryModel):
 
     @property
     def feature_names(self) -> list[str]:
+        """Names of the feature columns, in the order of ``feature_labels``."""
+        return safe_names(self.feature_labels)
+
+    @property
+    def feature_labels(self) -> list[str]:
+        """What the features stand for: column, or column and category."""
         s = self.fitted
         names = [f["name"] for f in s["numeric"]]
         for f in s["text"]:
@@ -309,16 +335,15 @@ class HybridPreprocessorModel(DictionaryModel):
         df = self.encode_ordinal(df, s["ordinal"], text)
         place = {e["name"]: i for i, e in enumerate(s["ordinal"])}
         features = [
-            finite(scaled(numeric_value(numeric[f["name"]], f), f["center"], f["scale"])).alias(f["name"])
+            finite(scaled(numeric_value(numeric[f["name"]], f), f["center"], f["scale"]))
             for f in s["numeric"]
         ]
         for f in s["text"]:
             if f["encoder"] == "OneHotEncoder":
-                features += [one_hot(text[f["name"]], c).alias(f"{f['name']}_{c}") for c in f["categories"]]
+                features += [one_hot(text[f["name"]], c) for c in f["categories"]]
             else:
-                code = F.coalesce(F.col(f"_idx{place[f['name']]}"), F.lit(-1.0))
-                features.append(code.alias(f"{f['name']}_ordinal"))
-        return df.select(*[col(c) for c in kept], *features)
+                features.append(F.coalesce(F.col(f"_idx{place[f['name']]}"), F.lit(-1.0)))
+        return df.select(*[col(c) for c in kept], *[f.alias(n) for f, n in zip(features, self.feature_names)])
 
     def transform_cleaned(self, df: DataFrame) -> DataFrame:
         """Imputed only: original scale, text and order; unusable columns dropped.
@@ -461,6 +486,11 @@ class PlainPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
 class PlainPreprocessorModel(DictionaryModel):
     @property
     def feature_names(self) -> list[str]:
+        """Names of the feature columns, in the order of ``feature_labels``."""
+        return safe_names(self.feature_labels)
+
+    @property
+    def feature_labels(self) -> list[str]:
         s = self.fitted
         spread = {f["name"] for f in s["text"]}
         names = [f["name"] for f in s["numeric"]] + [e["name"] for e in s["ordinal"] if e["name"] not in spread]
@@ -481,19 +511,19 @@ class PlainPreprocessorModel(DictionaryModel):
         out = []
         for f in s["numeric"]:
             x = as_double(f["name"])
-            out.append(finite(scaled(numeric_value(F.when(~F.isnan(x), x), f), f["center"], f["scale"])).alias(f["name"]))
+            out.append(finite(scaled(numeric_value(F.when(~F.isnan(x), x), f), f["center"], f["scale"])))
         spread = {f["name"] for f in s["text"]}
         index = {e["name"]: F.col(f"_idx{i}") for i, e in enumerate(s["ordinal"])}
-        out += [F.coalesce(i, F.lit(-1.0)).alias(n) for n, i in index.items() if n not in spread]
+        out += [F.coalesce(i, F.lit(-1.0)) for n, i in index.items() if n not in spread]
         for f in s["text"]:
             v = text[f["name"]]
-            out += [one_hot(v, c).alias(f"{f['name']}_{c}") for c in f["categories"]]
+            out += [one_hot(v, c) for c in f["categories"]]
             if f["infrequent"]:
                 # A category that was rare in training; one never seen stays all zero.
                 rare = ~v.isin(f["categories"]) & index[f["name"]].isNotNull()
                 other = F.when(rare, 1.0).otherwise(0.0)
-                out.append(other.alias(f"{f['name']}_infrequent_sklearn"))
-        return df.select(*[col(c) for c in kept], *out)
+                out.append(other)
+        return df.select(*[col(c) for c in kept], *[f.alias(n) for f, n in zip(out, self.feature_names)])
 
 
 # ---- standardisation of a finished feature matrix ----------------------------------

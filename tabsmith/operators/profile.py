@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_text, col, numeric_columns, percent
@@ -107,9 +107,10 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
     """Count per class, NULL being a class; percentages over the non-NULL rows."""
     dtype = df.schema[target].dataType
     counts = df.groupBy(as_text(target, dtype).alias("class")).agg(F.count(F.lit(1)).alias("class_count"))
-    # One row per class: the window runs over the classes, not over the data.
-    valid = F.sum(F.when(F.col("class").isNotNull(), F.col("class_count"))).over(Window.partitionBy(F.lit(1)))
-    return counts.select(
+    # One total beside the classes: no task sees all of them.
+    total = df.agg(F.count(as_text(target, dtype)).alias("valid"))
+    valid = F.col("valid")
+    return counts.join(F.broadcast(total)).select(
         F.lit(target).alias("target_column"),
         "class",
         "class_count",

@@ -37,7 +37,7 @@ from tabsmith.functions.joins import BROADCAST_ROWS
 from tabsmith.functions.quantiles import linear_quantiles
 
 COLUMNS_PER_PASS = 48
-# Text longer than this on average is grouped by a 128-bit digest instead of itself.
+# Text longer than this on average is grouped by its SHA-256 digest instead of itself.
 LONG_TEXT_BYTES = 64
 # Up to this many 8-byte hashes of possibly repeated rows are broadcast.
 SUSPECT_ROWS = 1_000_000
@@ -314,10 +314,10 @@ def _plain_values(df: DataFrame, part: list[ColumnStats], types: dict, carrier:
 
 
 def _digest_values(df: DataFrame, part: list[ColumnStats], types: dict) -> None:
-    """Long text: shuffle 128-bit digests, then look up the text of the winners."""
+    """Long text: shuffle 256-bit digests, then look up the text of the winners."""
     spark = df.sparkSession
     text = {i: as_text(s.column_name, types[s.column_name]) for i, s in enumerate(part)}
-    counts = value_counts(df, {i: F.unhex(F.md5(t)) for i, t in text.items()}, "digest")
+    counts = value_counts(df, {i: F.unhex(F.sha2(t, 256)) for i, t in text.items()}, "digest")
     # How many values occur how often: gives the peak and the number of values that tie.
     spread = counts.groupBy("column_id", "cnt").agg(F.count(F.lit(1)).alias("values"))
     peak = spread.groupBy("column_id").agg(

@@ -11,7 +11,8 @@ from tabsmith.functions.expr import is_nested
 def export_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     """Write a table (cleaned data, metrics, comparison) in parallel part files.
 
-    CSV cannot hold nested values, so those are written as JSON text.
+    CSV cannot hold nested values, so those are written as JSON text. Quotes inside a field are doubled, white space is
+    kept, and an empty text is written as "" to tell it from NULL.
     """
     if fmt == "csv":
         flat = df.select(
@@ -20,7 +21,8 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
                 for f in df.schema.fields
             ]
         )
-        flat.write.mode(mode).option("header", True).csv(path)
+        options = {"header": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        flat.write.mode(mode).options(**options).csv(path)
     else:
         df.write.mode(mode).format(fmt).save(path)
 

@@ -19,29 +19,42 @@ MISSING_TOKENS = [
 BOOLEAN_WORDS = ["true", "True", "TRUE", "false", "False", "FALSE"]
 
 
-def _read_text(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+# Texts of a number column; a trailing type letter is no number.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+# Bytes of any file survive this encoding, so the real one can be judged afterwards.
+BYTES = "ISO-8859-1"
+
+
+def _read_text(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("encoding", encoding)
+        .option("encoding", BYTES)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", lines)
         .csv(path)
     )
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line holds an odd number of quotes: then fields may hold line breaks."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """Read CSV files: encoding fallback, missing tokens, inferred column types.
 
-    UTF-8 first; a replacement character in any field means the bytes were not UTF-8 and
-    the files are read as ISO-8859-1. Types are found in one aggregate over the
-    text columns: bigint, double, boolean, else text.
+    A file of which every field is valid UTF-8 is UTF-8, any other is ISO-8859-1. Quotes inside quoted
+    fields are doubled. Fields may hold line breaks: unless ``multi_line`` says so or not, the
+    quotes of the lines tell, and only then a file is read by one task as a whole. Types are found in one
+    aggregate over the text columns: bigint, double, boolean, else text; whole numbers beyond bigint stay text.
     """
-    text = _read_text(spark, path, "UTF-8")
+    lines = _has_open_quotes(spark, path) if multi_line is None else multi_line
+    text = _read_text(spark, path, lines)
     validate_table(text)
-    if _has_replacement(text):
-        text = _read_text(spark, path, "ISO-8859-1")
+    text = _decoded(text)
     tokens = [t for t in MISSING_TOKENS if t]
     cleaned = text.select(
         *[F.when(~F.trim(col(c)).isin(tokens) & (col(c) != ""), col(c)).alias(c) for c in text.columns]
@@ -51,9 +64,18 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _has_replacement(text: DataFrame) -> bool:
-    hit = reduce(lambda a, b: a | b, [F.coalesce(col(c).contains("�"), F.lit(False)) for c in text.columns])
-    return bool(text.filter(hit).limit(1).count())
+def _decoded(text: DataFrame) -> DataFrame:
+    """Fields read byte by byte as the text of their file's encoding."""
+    names = text.columns
+    valid = reduce(lambda a, b: a & b, [F.coalesce(F.is_valid_utf8(F.encode(col(c), BYTES)), F.lit(True)) for c in names])
+    file = F.col("_metadata.file_path")
+    other = [r[0] for r in text.select(file.alias("file"), valid.alias("valid")).filter(~F.col("valid")).select("file").distinct().collect()]
+    plain = file.isin(other) if other else F.lit(False)
+    try:
+        shown = [c.encode(BYTES).decode("utf-8") for c in names]
+    except UnicodeError:
+        shown = names
+    return text.select(*[F.when(plain, col(c)).otherwise(F.decode(F.encode(col(c), BYTES), "UTF-8")).alias(n) for c, n in zip(names, shown)])
 
 
 def _kinds(text: DataFrame) -> list[str]:
@@ -63,11 +85,13 @@ def _kinds(text: DataFrame) -> list[str]:
         for c in part:
             v = F.trim(col(c))
             has = col(c).isNotNull()
+            digits = has & v.rlike(r"^[+-]?\d+$")
             aggs.append(
                 F.struct(
                     F.count_if(has).alias("n"),
-                    F.count_if(has & v.rlike(r"^[+-]?\d{1,18}$")).alias("whole"),
-                    F.count_if(has & v.try_cast("double").isNotNull()).alias("number"),
+                    F.count_if(digits).alias("digits"),
+                    F.count_if(digits & v.try_cast("bigint").isNotNull()).alias("whole"),
+                    F.count_if(has & v.rlike(NUMBER)).alias("number"),
                     F.count_if(has & v.isin(BOOLEAN_WORDS)).alias("truth"),
                 )
             )
@@ -75,8 +99,8 @@ def _kinds(text: DataFrame) -> list[str]:
         for k in row:
             if k["n"] == 0:
                 kinds.append("double")
-            elif k["whole"] == k["n"]:
-                kinds.append("bigint")
+            elif k["digits"] == k["n"]:
+                kinds.append("bigint" if k["whole"] == k["n"] else "string")
             elif k["number"] == k["n"]:
                 kinds.append("double")
             elif k["truth"] == k["n"]:
