@@ -49,15 +49,18 @@ def lookup(
     """Left join ``df[key]`` with ``dictionary(value, idx)`` into column ``out``.
 
     Small dictionaries are broadcast. For large ones both sides are shuffled, and the
-    values that hold a large share of the rows are spread over salted copies.
+    values that hold a large share of the rows are spread over salted copies. Rows without a key
+    match nothing; they are spread evenly too.
     """
     entries = dictionary.select(F.col("value").alias("_dk"), F.col("idx").alias(out))
     if fits_broadcast(rows, size):
         return df.join(F.broadcast(entries), df[key] == F.col("_dk"), "left").drop("_dk")
-    if not hot:
-        return df.join(entries, df[key] == F.col("_dk"), "left").drop("_dk")
-    salted = df.withColumn("_salt", F.when(F.col(key).isin(hot), F.floor(F.rand(7) * SALTS)).otherwise(0).cast("int"))
-    copies = F.when(F.col("_dk").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.col(key).isNull() | F.col(key).isin(hot) if hot else F.col(key).isNull()
+    # The row's place in its partition: the same when a lost task runs again.
+    turn = F.when(F.col(key).isNull(), F.monotonically_increasing_id()).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.when(spread, turn).otherwise(0))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    copies = F.when(F.col("_dk").isin(hot), every).otherwise(F.array(F.lit(0).cast("bigint"))) if hot else F.array(F.lit(0).cast("bigint"))
     spread = entries.withColumn("_ds", F.explode(copies))
     match = (salted[key] == F.col("_dk")) & (salted["_salt"] == F.col("_ds"))
     return salted.join(spread, match, "left").drop("_dk", "_ds", "_salt")

@@ -176,12 +176,21 @@ class DictionaryModel(StateModel):
         twin.dictionary = self.dictionary
         return twin
 
-    def encode_ordinal(self, df: DataFrame, entries: list[dict], text: dict[str, Column]) -> DataFrame:
-        """Add one code column per entry; values not in the dictionary become -1."""
+    def encode_ordinal(self, df: DataFrame, entries: list[dict], raw: dict[str, Column | None], fill: dict[str, str]) -> DataFrame:
+        """Add one code column per entry; values not in the dictionary stay NULL.
+
+        Missing values have the code of the value that fills them, and absent columns (None) that of "missing": known from
+        fitting, so these rows never take part in a join on one hot key.
+        """
         for i, e in enumerate(entries):
-            key = f"_key{i}"
+            key, out, text = f"_key{i}", f"_idx{i}", raw[e["name"]]
+            if text is None:
+                df = df.withColumn(out, F.lit(e["codes"].get("missing")).cast("double"))
+                continue
             known = self.dictionary.filter(F.col("column_id") == e["name"])
-            df = lookup(df.withColumn(key, text[e["name"]]), key, known, e["rows"], e["bytes"], e["hot"], f"_idx{i}").drop(key)
+            df = lookup(df.withColumn(key, text), key, known, e["rows"], e["bytes"], e["hot"], out)
+            filled = F.lit(e["codes"].get(fill[e["name"]])).cast("double")
+            df = df.withColumn(out, F.when(F.col(key).isNull(), filled).otherwise(F.col(out))).drop(key)
         return df
 
 
@@ -201,9 +210,12 @@ class _DictionaryReader(DefaultParamsReader):
 
 
 def fit_dictionary(
-    df: DataFrame, names: list[str], sizes: dict[str, int], n_rows: int, missing: str | None = None
+    df: DataFrame, names: list[str], sizes: dict[str, int], n_rows: int, missing: str | None = None, fills: dict[str, str] | None = None
 ) -> tuple[DataFrame | None, list[dict]]:
-    """Sorted value dictionary of several columns and the lookup facts of each."""
+    """Sorted value dictionary of several columns and the lookup facts of each.
+
+    `fills` names the value that stands for missing ones; its code is kept with the facts.
+    """
     if not names:
         return None, []
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -217,6 +229,12 @@ def fit_dictionary(
         F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")
     )
     measured = {r["column_id"]: r for r in facts.collect()}
+    # At most two values per column.
+    standing = F.array(F.lit("missing"), *[F.lit(v) for v in {missing, *(fills or {}).values()} if v is not None])
+    codes: dict[str, dict[str, float]] = {n: {} for n in names}
+    for r in dictionary.filter(F.array_contains(standing, F.col("value"))).collect():
+        if r["value"] in ("missing", missing, (fills or {}).get(r["column_id"])):
+            codes[r["column_id"]][r["value"]] = r["idx"]
     entries = []
     for n in names:
         rows, size = (measured[n]["rows"], measured[n]["bytes"]) if n in measured else (0, 0)
@@ -225,7 +243,7 @@ def fit_dictionary(
             # Fewer than HOT_SHARE values can each hold more than 1 / HOT_SHARE of the rows.
             often = dictionary.filter((F.col("column_id") == n) & (F.col("cnt") * HOT_SHARE > n_rows))
             hot = [r["value"] for r in often.select("value").collect()]
-        entries.append({"name": n, "rows": rows, "bytes": size, "hot": hot})
+        entries.append({"name": n, "rows": rows, "bytes": size, "hot": hot, "codes": codes[n]})
     return dictionary, entries
 
 
@@ -268,7 +286,8 @@ class HybridPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable
             lambda: fit_numeric(df, usable, t),
             lambda: categories_of(df, [s.column_name for s in few]),
             lambda: fit_dictionary(
-                df, [s.column_name for s in many], {s.column_name: s.unique_count for s in many}, stats.n_rows
+                df, [s.column_name for s in many], {s.column_name: s.unique_count for s in many}, stats.n_rows,
+                fills={s.column_name: s.top_value for s in many},
             ),
         )
         trace = [r.asDict(recursive=True) for r in decision_trace(plan).collect()]
@@ -332,7 +351,9 @@ class HybridPreprocessorModel(DictionaryModel):
         s = self.fitted
         numeric, text = self._inputs(df)
         kept = [c for c in df.columns if c not in set(s["inputs"])]
-        df = self.encode_ordinal(df, s["ordinal"], text)
+        types = {f.name: f.dataType for f in df.schema.fields}
+        raw = {f["name"]: as_text(f["name"], types[f["name"]]) if f["name"] in types else None for f in s["text"]}
+        df = self.encode_ordinal(df, s["ordinal"], raw, {f["name"]: f["mode"] for f in s["text"]})
         place = {e["name"]: i for i, e in enumerate(s["ordinal"])}
         features = [
             finite(scaled(numeric_value(numeric[f["name"]], f), f["center"], f["scale"]))
@@ -507,7 +528,8 @@ class PlainPreprocessorModel(DictionaryModel):
             e["name"]: F.coalesce(as_text(e["name"], types[e["name"]]), F.lit(PlainPreprocessor.MISSING))
             for e in s["ordinal"] + s["text"]
         }
-        df = self.encode_ordinal(df, s["ordinal"], text)
+        raw = {e["name"]: as_text(e["name"], types[e["name"]]) for e in s["ordinal"]}
+        df = self.encode_ordinal(df, s["ordinal"], raw, {e["name"]: PlainPreprocessor.MISSING for e in s["ordinal"]})
         out = []
         for f in s["numeric"]:
             x = as_double(f["name"])

@@ -105,3 +105,26 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         jobs.checkpoint_folder(Session())
+
+
+def test_ordinal_codes_without_hot_keys(spark, monkeypatch):
+    from tabsmith.functions import joins
+    from tabsmith.operators.preprocess import PlainPreprocessor
+
+    df = spark.range(4000).selectExpr("if(id % 10 > 0, null, concat('v', id % 700)) as t", "concat('w', id % 90) as u", "id % 2 as y")
+    fresh = spark.createDataFrame([("v10", None), (None, "w3"), ("new", "w5"), ("missing", "new")] * 20, "t string, u string")
+    want = {}
+    for route in ("broadcast", "shuffled"):
+        if route == "shuffled":
+            monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+            monkeypatch.setattr(joins, "WINDOW_ROWS", 10)
+        for maker in (HybridPreprocessor, PlainPreprocessor):
+            model = maker(inputCols=["t", "u"]).fit(df)
+            got = [sorted(map(str, model.transform(x).collect())) for x in (df, fresh)]
+            if maker is HybridPreprocessor:
+                got.append(sorted(map(str, model.transform(df.drop("u")).collect())))
+                assert {r["u_ordinal"] for r in model.transform(df.drop("u")).collect()} == {-1.0}
+                mode = next(f["mode"] for f in model.fitted["text"] if f["name"] == "t")
+                code = model.transform(df.filter(F.col("t") == mode)).first()["t_ordinal"]
+                assert {r["t_ordinal"] for r in model.transform(df.filter("t is null")).collect()} == {code}
+            assert want.setdefault(maker.__name__, got) == got
