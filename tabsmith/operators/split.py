@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_text, col, is_nested, nan_to_null
@@ -18,7 +18,13 @@ from tabsmith.functions.jobs import checkpointed
 from tabsmith.functions.quantiles import select_ranks
 
 RID = "_tabsmith_row"
+# Classes whose labels a learner can hold; splits have no such limit.
 MAX_CLASSES = 10_000
+# Up to so many classes have their cuts in the filter itself; more are looked up in a table.
+FILTER_CLASSES = 48
+# Classes of a table that is broadcast at most, and hash buckets that the cut of a class is searched in.
+BROADCAST_CLASSES = 200_000
+HASH_BUCKETS = 256
 
 
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
@@ -35,6 +41,12 @@ def class_counts(df: DataFrame, target: str) -> dict:
     return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: (r["y"] is None, r["y"]))}
 
 
+def _few_classes(df: DataFrame, target: str) -> dict | None:
+    """Rows per class, or None for more than ``FILTER_CLASSES``."""
+    rows = df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")).limit(FILTER_CLASSES + 1).collect()
+    return {r["y"]: r["n"] for r in sorted(rows, key=lambda r: (r["y"] is None, r["y"]))} if len(rows) <= FILTER_CLASSES else None
+
+
 def check_classes(counts: dict, target: str, on_rare_class: str = "error") -> bool:
     """Whether the split can be stratified; errors where classification is impossible."""
     counts = {k: n for k, n in counts.items() if k is not None}
@@ -93,8 +105,12 @@ def holdout_split(
     counts = {None: df.count()}
     strata: Column | None = None
     if target is not None:
-        by_class = class_counts(df, target)
-        if check_classes(by_class, target, on_rare_class):
+        by_class = _few_classes(df, target)
+        if by_class is None:
+            table = _class_table(df, target, on_rare_class)
+            if table is not None:
+                return _split_by_table(df, target, _table_quotas(table, counts[None], test_size), seed, key)
+        elif check_classes(by_class, target, on_rare_class):
             counts, strata = by_class, col(target)
     quotas = {k: q for k, q in test_quotas(counts, test_size).items() if q > 0}
     h = row_hash(df, key, seed)
@@ -144,6 +160,59 @@ def holdout_split(
     return train.drop(RID), test.drop(RID)
 
 
+def _class_table(df: DataFrame, target: str, on_rare_class: str) -> DataFrame | None:
+    """(y, n) of every class, stored; None where the split cannot be stratified."""
+    table = checkpointed(df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    rare = [str(r["y"]) for r in table.filter("n < 2").orderBy("y").limit(20).collect()]
+    if rare and on_rare_class == "error":
+        raise ValueError(f"Target column '{target}' has rare classes with fewer than 2 samples: {rare}.")
+    return None if rare else table
+
+
+def _table_quotas(table: DataFrame, n: int, test_size: float) -> DataFrame:
+    """(y, quota): test rows per class by largest remainder, as ``test_quotas`` finds them for few classes."""
+    n_train = n - math.ceil(n * test_size)
+    if n_train < 1 or n_train == n:
+        raise ValueError("Both sides of a split need at least one row.")
+    exact = F.col("n") * F.lit(float(n_train)) / F.lit(float(n))
+    shares = table.select("y", "n", F.floor(exact).alias("train"), (exact - F.floor(exact)).alias("rest"))
+    left = n_train - shares.agg(F.sum("train")).first()[0]
+    more = shares.orderBy(F.desc("rest"), "y").limit(left).select(F.col("y").alias("_y"), F.lit(1).alias("one"))
+    joined = shares.join(more, F.col("y") == F.col("_y"), "left")
+    return checkpointed(joined.select("y", (F.col("n") - F.col("train") - F.coalesce("one", F.lit(0))).alias("quota")))
+
+
+def _split_by_table(df: DataFrame, target: str, quotas: DataFrame, seed: int, key: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The split for any number of classes: one row per class says where its test rows end."""
+    rows, rid = df, F.lit(0)
+    cuts = _cuts(rows, target, quotas, row_hash(df, key, seed), rid)
+    if not cuts.filter("tied").isEmpty():
+        # Copies of one row share a hash: their stored row id decides.
+        rows, rid = checkpointed(df.withColumn(RID, F.monotonically_increasing_id())), F.col(RID)
+        cuts = _cuts(rows, target, quotas, row_hash(rows.drop(RID), key, seed), rid)
+    h = row_hash(rows.drop(RID), key, seed)
+    known = cuts.select(F.col("y").alias("_y"), F.col("h").alias("_h"), F.col("rid").alias("_rid"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_CLASSES else known
+    placed = rows.withColumns({"_hash": h, "_row": rid.cast("bigint")}).join(known, col(target) == F.col("_y"), "left")
+    chosen = F.coalesce((F.col("_hash") < F.col("_h")) | ((F.col("_hash") == F.col("_h")) & (F.col("_row") <= F.col("_rid"))), F.lit(False))
+    return tuple(placed.filter(side).select(*[col(c) for c in df.columns]) for side in (~chosen, chosen))
+
+
+def _cuts(rows: DataFrame, target: str, quotas: DataFrame, h: Column, rid: Column) -> DataFrame:
+    """(y, h, rid, tied): the last test row of every class with a quota. Only the hash bucket that holds it is sorted."""
+    bucket = F.floor(h * HASH_BUCKETS / F.lit(float(2**53)))
+    keyed = rows.select(col(target).alias("y"), h.alias("h"), rid.cast("bigint").alias("rid"), bucket.alias("bucket"))
+    before = F.sum("n").over(Window.partitionBy("y").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    held = keyed.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    last = held.join(quotas, "y").filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
+    inside = keyed.join(last.select("y", "bucket", (F.col("quota") - F.col("before")).alias("place")), ["y", "bucket"])
+    order = Window.partitionBy("y").orderBy("h", "rid")
+    ranked = inside.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("h").over(order))
+    same = (F.col("next") == F.col("h")) & (F.lead("rid").over(order) == F.col("rid"))
+    ranked = ranked.withColumn("tied", F.coalesce(same, F.lit(False)))
+    return checkpointed(ranked.filter(F.col("rank") == F.col("place")).select("y", "h", "rid", "tied"))
+
+
 def class_distribution(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     """Rows per side and class."""
     sides = [

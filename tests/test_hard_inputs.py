@@ -128,3 +128,22 @@ def test_ordinal_codes_without_hot_keys(spark, monkeypatch):
                 code = model.transform(df.filter(F.col("t") == mode)).first()["t_ordinal"]
                 assert {r["t_ordinal"] for r in model.transform(df.filter("t is null")).collect()} == {code}
             assert want.setdefault(maker.__name__, got) == got
+
+
+def test_split_of_many_classes(spark):
+    from tabsmith.operators.split import holdout_split
+
+    df = spark.range(6000).selectExpr("id", "concat('k', id % 1500) as y", "id % 7 as x")
+    train, test = holdout_split(df, "y", test_size=0.25, key=["id"])
+    assert (train.count(), test.count()) == (4500, 1500)
+    assert test.groupBy("y").count().filter("count != 1").count() == 0
+    assert train.join(test, "id").count() == 0 and train.columns == df.columns
+    # Copies that only a row id can tell apart.
+    copies = df.select("y", (F.col("x") * 0).alias("x"))
+    train, test = holdout_split(copies, "y", test_size=0.25)
+    assert (train.count(), test.count()) == (4500, 1500)
+    assert test.groupBy("y").count().filter("count != 1").count() == 0
+    with pytest.raises(ValueError, match="rare"):
+        holdout_split(df.union(spark.sql("select 9999L, 'alone', 0L")), "y")
+    train, test = holdout_split(df.union(spark.sql("select 9999L, 'alone', 0L")), "y", on_rare_class="plain")
+    assert test.count() == 1201
