@@ -469,6 +469,11 @@ f AS (SELECT *, floor(n_train * k / n) AS base, n_train * k / n - floor(n_train
 g AS (SELECT *, row_number() OVER (ORDER BY rest DESC, class) AS rn, n_train - sum(base) OVER () AS spare FROM f),
 h AS (SELECT class, k, CAST(base + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS train FROM g)
 SELECT 'train' AS split, class, train AS class_count FROM h UNION ALL SELECT 'test', class, k - train FROM h"""
+    q["split_many_classes"] = """WITH c AS (SELECT o_custkey % 60 AS class, count(*) AS n FROM orders GROUP BY 1),
+t AS (SELECT sum(n)::BIGINT AS n, (sum(n) - ceil(sum(n) * 0.2))::BIGINT AS train FROM c),
+e AS (SELECT class, c.n, c.n * t.train::DOUBLE / t.n::DOUBLE AS exact, t.train AS all_train FROM c, t),
+f AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, class) AS place, all_train - sum(floor(exact)) OVER () AS spare FROM e)
+SELECT class, (n - floor(exact) - CASE WHEN place <= spare THEN 1 ELSE 0 END)::BIGINT AS test_rows FROM f"""
     q["split_plain"] = """SELECT 'train' AS split, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) AS split_rows FROM orders
 UNION ALL SELECT 'test', CAST(ceil(count(*) * 0.2) AS BIGINT) FROM orders"""
     q["confusion"] = f"""WITH {SCORED} SELECT t AS truth, p AS predicted, (SELECT count(*) FROM scored WHERE flag = t AND flag_predicted = p) AS cnt
@@ -481,6 +486,12 @@ UNION ALL SELECT 'weighted avg', {r('sum(p * support) / sum(support)', 4)}, {r('
     q["roc_auc_ovr"] = f"WITH {SCORED} " + union(
         [f"SELECT CAST({i} AS BIGINT) AS class_index, {r(auc(f'''flag = '{c}' ''', s), 6)} AS auc" for i, (c, s) in enumerate((("A", "p_a"), ("N", "p_n"), ("R", "p_r")))]
     )
+    q["csv_roundtrip_text"] = """SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents
+UNION ALL SELECT event_id, 'ev', event_type, length(props), md5('say "' || props || '",' || chr(10)) FROM events"""
+    q["one_hot_hard_names"] = """SELECT label, count(*)::DOUBLE AS ones FROM (
+SELECT 0 AS part, 'city_St. ' || replace(o_orderpriority, '-', '`') AS label FROM orders
+UNION ALL SELECT 1, CASE WHEN o_orderkey % 2 = 0 THEN 'a_b_c' ELSE 'a_x' END FROM orders
+UNION ALL SELECT 2, CASE WHEN o_orderkey % 3 = 0 THEN 'a_b_c' ELSE 'a_b_y' END FROM orders) GROUP BY part, label"""
     q["csv_roundtrip"] = f"""WITH {DIRTY} SELECT count(*) AS n, count(quantity) AS quantities, count(returnflag) AS flags, {r('sum(price)', 2)} AS price_sum,
  CAST(sum(linenumber) AS BIGINT) AS line_sum, max(linestatus) AS last_status FROM dirty"""
     q["preview_rows"] = "SELECT * FROM nation ORDER BY n_nationkey LIMIT 10"

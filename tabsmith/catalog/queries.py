@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from tabsmith.catalog.tables import (
     scored_lineitem,
     table,
 )
-from tabsmith.functions.jobs import checkpoint_folder
+from tabsmith.functions.jobs import scratch_folder
 from tabsmith.operators import autoconfig, eda, metrics, models, profile
 from tabsmith.operators.benchmark import run_benchmark
 from tabsmith.operators.compare import Comparison
@@ -320,6 +319,18 @@ def one_hot(spark, d):
     return _fit(df, "event_id").transform(df)
 
 
+def one_hot_hard_names(spark, d):
+    """Categories with dots and backticks, and labels of two columns that meet."""
+    city = F.concat(F.lit("St. "), F.translate("o_orderpriority", "-", "`"))
+    meets = F.when(F.col("o_orderkey") % 2 == 0, "b_c").otherwise("x")
+    df = table(spark, d, "orders").select("o_orderkey", city.alias("city"), meets.alias("a"), F.when(F.col("o_orderkey") % 3 == 0, "c").otherwise("y").alias("a_b"))
+    m = HybridPreprocessor(inputCols=["city", "a", "a_b"]).fit(df)
+    labels = dict(zip(m.feature_names, m.feature_labels))
+    long = m.transform(df).unpivot("o_orderkey", m.feature_names, "feature", "value")
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col("feature"))
+    return long.groupBy(label.alias("label"), "feature").agg(F.sum("value").alias("ones")).select("label", "ones")
+
+
 def ordinal(spark, d):
     df = dirty_events(spark, d).select("event_id", "props")
     return _fit(df, "event_id").transform(df)
@@ -426,6 +437,12 @@ def split_class_counts(spark, d):
     return class_distribution(train, test, "linestatus")
 
 
+def split_many_classes(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("class"))
+    _, test = holdout_split(orders, "class", key=["o_orderkey"])
+    return test.groupBy("class").agg(F.count(F.lit(1)).alias("test_rows"))
+
+
 def split_plain(spark, d):
     train, test = holdout_split(table(spark, d, "orders"), None, key=["o_orderkey"])
     sides = [x.agg(F.lit(n).alias("split"), F.count(F.lit(1)).alias("split_rows")) for n, x in (("train", train), ("test", test))]
@@ -510,13 +527,9 @@ def score_batch(spark, d):
     return scored.groupBy("predicted_class", "confidence_level", "risk_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scratch(spark) -> str:
-    return f"{checkpoint_folder(spark)}/run-{uuid.uuid4().hex}"
-
-
 def score_streamed(spark, d):
     """Train, save, reload, then score the orders as a file stream."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     df = order_facts(spark, d)
     _train(spark, d, "logistic_regression").model.save(f"{folder}/model")
     df.write.parquet(f"{folder}/in")
@@ -531,7 +544,7 @@ def score_streamed(spark, d):
 
 def csv_roundtrip(spark, d):
     """Export the cleaned table as CSV, read it back, describe what arrived."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     df = dirty_lineitem(spark, d)
     export_table(df, f"{folder}/cleaned")
     back = read_csv(spark, f"{folder}/cleaned")
@@ -541,6 +554,16 @@ def csv_roundtrip(spark, d):
     )
 
 
+def csv_roundtrip_text(spark, d):
+    """Whole texts with line breaks and quotes, and JSON-like properties, exported as CSV and read back."""
+    folder = scratch_folder(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    events = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('say "'), "props", F.lit('",\n')).alias("text"), F.lit("ev").alias("lang"), F.col("event_type").alias("source"), F.length("props").cast("bigint").alias("n_chars"))
+    export_table(docs.unionByName(events), f"{folder}/texts")
+    back = read_csv(spark, f"{folder}/texts")
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def preview_rows(spark, d):
     return preview(read_table(spark, f"{d}/nation.parquet").orderBy("n_nationkey"), 10)
 
@@ -553,11 +576,12 @@ def queries() -> dict[str, Query]:
         corr_pairs, corr_matrix, corr_strong_pairs, outlier_table, findings, severity_counts, top_findings, eda_flags,
         target_scores, leak_correlation, leak_contingency, leak_purity, leakage, auto_config,
         plan_status, plan_imputation, plan_scaling, plan_log1p, plan_encoding, plan_count, plan_trace,
-        cleaned_table, impute_numeric, impute_mode, log1p_scale_robust, scale_standard, one_hot, ordinal, plain_ordinal,
+        cleaned_table, impute_numeric, impute_mode, log1p_scale_robust, scale_standard, one_hot, one_hot_hard_names, ordinal, plain_ordinal,
         one_hot_capped, fit_metadata, compare_overall, compare_numeric, compare_hist, compare_categories,
-        ratio_validate, ratio_apply, select_features, select_relevance, anova, split_class_counts, split_plain,
+        ratio_validate, ratio_apply, select_features, select_relevance, anova, split_class_counts, split_many_classes, split_plain,
         confusion, class_report, binary_metrics, roc_auc_ovr,
         train_logistic_regression, train_decision_tree, train_random_forest, train_gradient_boosting, benchmark_abc,
-        feature_importance, sample_records, model_comparison, score_batch, score_streamed, csv_roundtrip, preview_rows,
+        feature_importance, sample_records, model_comparison, score_batch, score_streamed, csv_roundtrip, csv_roundtrip_text,
+        preview_rows,
     ]
     return {q.__name__: q for q in listed}

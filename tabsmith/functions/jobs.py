@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints; it goes when the driver's JVM ends."""
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs and lost executors see the very same rows."""
     checkpoint_folder(df.sparkSession)
