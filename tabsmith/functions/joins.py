@@ -10,8 +10,9 @@ from tabsmith.functions.jobs import checkpointed
 # A side is only broadcast when it is known to stay below both limits.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Ranks of a dictionary up to this size are computed by one window per column.
+# Ranks of dictionaries within both limits are computed by one window per column.
 WINDOW_ROWS = 200_000
+WINDOW_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 200
 SALTS = 64
 
@@ -22,7 +23,9 @@ def ranked_dictionary(counts: DataFrame, total_values: int, columns: int) -> Dat
     Large dictionaries are range-sorted over all executors; the position is the place
     inside the partition plus the values in earlier partitions.
     """
-    if total_values <= WINDOW_ROWS:
+    counts = checkpointed(counts)
+    size = counts.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if total_values <= WINDOW_ROWS and size <= WINDOW_BYTES:
         order = Window.partitionBy("column_id").orderBy("value")
         return checkpointed(counts.withColumn("idx", (F.row_number().over(order) - 1).cast("double")))
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
