@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import in_batches, raw, slices, stored
+from tabsmith.llm.common import in_batches, raw, ship, slices, stored
 from tabsmith.llm.graph import components, sent
 
 SHINGLE_WORDS = 5
@@ -26,8 +25,10 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 28, about 1 in 70,000.
 BANDS, ROWS = 28, 5
-#: Documents of a bucket that all others are compared with in the first round, and the growth of that number.
-HUBS, MORE_HUBS = 2, 8
+#: Buckets of up to so many documents are compared pair by pair; larger ones in blocks of about so many shingles.
+PAIRED_MEMBERS, BLOCK_SHINGLES = 8, 1 << 17
+#: Shingles that are compared at once within a block.
+COLUMNS = 2048
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEED_INTERVAL, _SEED_POINT = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -154,14 +155,79 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     return in_batches(texts.join(sent(ids, ids.count()), "id", "left_semi"), sets, schema).dropDuplicates(["id"])
 
 
+def enough(shared, size_a, size_b):
+    """Whether two multisets with so many common elements are similar, for numbers, arrays and columns alike."""
+    least, of = SIMILAR
+    return shared * of >= (size_a + size_b - shared) * least
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose shingle multisets overlap enough."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = stored(shingle_sets(docs, ids, id_col, text_col))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    least, of = SIMILAR
-    return both.where(shared * of >= (F.size("set_a") + F.size("set_b") - shared) * least).select("a", "b")
+    return both.where(enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b")
+
+
+def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """For each set the first one that it is linked with, directly or over others; sets of sides 0 and 1 are compared across
+    (all with all if there is one side)."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only shingles of several sets can be shared.
+    number = np.cumsum(times > 1) - 1
+    owner, column = owner[times[column] > 1], number[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(number[-1]) + 1, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[i:j], column[i:j] - low] = 1
+        shared += has @ has.T
+    links = enough(shared.astype(np.int64), sizes[:, None], sizes[None, :])
+    if side.any() and not side.all():
+        links &= side[:, None] != side[None, :]
+    np.fill_diagonal(links, True)
+    first = np.arange(len(sets))
+    while True:
+        lower = np.where(links, first[None, :], len(sets)).min(1)
+        lower = lower[lower]
+        if (lower == first).all():
+            return first
+        first = lower
+
+
+def compared_in_blocks(buckets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links among the members of large buckets.
+
+    Buckets that overlap are one cluster. Its documents are dealt by hash into blocks of bounded size, every two blocks meet in a
+    group of their own, and a group gives at most one link per document: to the first one of its linked documents. All pairs
+    are compared, none is written, and no group grows with the cluster.
+    """
+    first = buckets.groupBy("band").agg(F.min("id").alias("a"))
+    clusters = components(stored(buckets.join(first, "band").select("a", F.col("id").alias("b")).distinct()))
+    sizes = clusters.join(buckets.select("id", "size").distinct(), "id")
+    blocks = sizes.groupBy("label").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = stored(sizes.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "label", "block", "blocks"))
+    sets = stored(shingle_sets(docs, placed.select("id"), id_col, text_col))
+    met = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("id", "set", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    schema = T.StructType([T.StructField("a", docs.schema[id_col].dataType), T.StructField("b", docs.schema[id_col].dataType)])
+
+    def compare(key, part):
+        part = part.sort_by("id")
+        column = part.column("set").combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        sets = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+        first = linked_groups(sets, part.column("block").to_numpy() == key[2].as_py()) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        own = np.flatnonzero(first != np.arange(len(sets)))
+        ids = part.column("id")
+        return pa.Table.from_arrays([ids.take(pa.array(first[own])), ids.take(pa.array(own))], names=["a", "b"])
+
+    ship(docs.sparkSession)
+    return met.groupBy("label", "low", "high").applyInArrow(compare, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -171,32 +237,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared further. NULL texts, texts without words and rows with a NULL id are a class of their own (class id = id).
     Rows that share an id count as one document. An empty table gives no rows; other columns are not read.
 
-    Within a bucket (documents that share a band) a few hubs are compared with all others, and classes are formed; while a
-    bucket still holds several classes, more hubs follow, up to all of it. So every pair that could join two classes is
-    compared in the end, but a bucket that is one class is done after the first hubs, however large.
+    Documents that share a band meet in a bucket. Small buckets give pairs, which are verified once each; documents of large
+    buckets are compared in blocks. Either way every pair that shares a band is compared on its whole multisets.
     """
     sketched = stored(sketches(docs, id_col, text_col, bands, rows))
     # Hot copies are combined before the shuffle.
     distinct = stored(sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     keyed = distinct.select("id", "size", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = stored(keyed.join(shared, "band").withColumn("place", F.xxhash64("id")))
-    links, labels, before, hubs = None, None, 0, HUBS
-    least, of = SIMILAR
-    while True:
-        here = buckets if labels is None else _undecided(buckets, labels, before)
-        ranked = here.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("place", "id"))).where(F.col("rank") <= hubs)
-        fits = (F.struct("h.place", "h.id") < F.struct("x.place", "x.id")) & (F.least("h.size", "x.size") * of >= F.greatest("h.size", "x.size") * least)
-        if labels is not None:
-            fits &= (F.col("h.rank") > before) & (F.col("h.label") != F.col("x.label"))
-        pairs = here.alias("x").join(ranked.alias("h"), (F.col("h.band") == F.col("x.band")) & fits).select(F.col("h.id").alias("a"), F.col("x.id").alias("b"))
-        new = stored(verified(stored(pairs.distinct()), docs, id_col, text_col))
-        links = new if links is None else links.unionByName(new)
-        if labels is None or not new.isEmpty():
-            labels = components(links)
-        before, hubs = hubs, hubs * MORE_HUBS
-        if _undecided(buckets, labels, before).isEmpty():
-            break
+    buckets = stored(keyed.join(shared, "band"))
+    small, large = buckets.where(F.col("members") <= PAIRED_MEMBERS), buckets.where(F.col("members") > PAIRED_MEMBERS)
+    # No pair can be similar whose sizes are further apart than the similarity.
+    near = (F.col("x.id") < F.col("y.id")) & enough(F.least("x.size", "y.size"), F.col("x.size"), F.col("y.size"))
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & near)
+    pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    links = verified(pairs, docs, id_col, text_col)
+    if not large.isEmpty():
+        links = links.unionByName(compared_in_blocks(large, docs, id_col, text_col))
+    labels = components(stored(links))
     named = distinct.join(labels, "id", "left").select("digest", "copies", F.coalesce("label", "id").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
     named = named.join(sizes, "class_id").select("digest", "class_id", "class_size")
@@ -206,14 +264,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed.unionByName(rest).withColumnRenamed("id", id_col)
 
 
-def _undecided(buckets: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
-    """The buckets of more than `hubs` members that are not one class yet, with labels; counts of members stay those of the start."""
-    n = labels.count()
-    named = buckets.where(F.col("members") > hubs).join(sent(labels, n), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    return named.join(open_, "band")
-
-
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but the smallest id of each class."""
     classes = near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()

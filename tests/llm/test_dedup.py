@@ -77,13 +77,18 @@ def test_classes_equal_brute_force(spark):
     assert op3_neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_large_bucket_takes_more_hubs(spark):
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op3_neardup, "BLOCK_SHINGLES", 800)
+    monkeypatch.setattr(op3_neardup, "COLUMNS", 16)
     # A chain: neighbours are similar, the ends are not, and all share long parts.
     base = words(120, 5).split()
     rows = []
     for n in range(40):
         base[3 * n % 120] = f"step{n}"
         rows.append((n, " ".join(base)))
+    # And a group of copies around one text, of which some are similar to each other and some to none.
+    center = words(120, 6)
+    rows += [(100 + n, _edited(center, (0.01, 0.02, 0.05)[n % 3], n)) for n in range(60)]
     out = {r.doc_id: r.class_id for r in op3_neardup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
     assert out == _classes(rows)
 
