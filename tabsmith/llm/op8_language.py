@@ -60,7 +60,7 @@ class Tables:
         self.size = a = len(seen) + 1
         unseen = max(257 - len(seen), 1)
         d = self.symbol[digits].astype(np.int64)
-        below = np.full((1, a), 1 / 256)
+        below = np.full((1, a), 1 / 256, np.float32)
         below[0, 0] = 0
         below[0, a - 1] = unseen / 256
         below /= below.sum()
@@ -77,7 +77,7 @@ class Tables:
                 numbers, inverse = np.unique(context, return_inverse=True)
                 times = np.bincount(inverse, model.count, len(numbers))
                 kept = numbers[times >= model.least_seen]
-            counts = np.zeros((n_lang, len(kept), a))
+            counts = np.zeros((n_lang, len(kept), a), np.float32)
             if len(kept):
                 row = np.minimum(np.searchsorted(kept, context), len(kept) - 1)
                 own = kept[row] == context
@@ -87,10 +87,15 @@ class Tables:
             lower = tables[:, shorter, :]
             total, kinds = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
             left = np.where(counts > 0, 0, lower).sum(2, keepdims=True)
-            escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0)
+            escape = np.divide(kinds, total + kinds, out=np.ones_like(total), where=total > 0, casting="unsafe")
             full = left <= 0  # nothing is left to escape to
-            probability = np.where(counts > 0, counts / np.maximum(total + np.where(full, 0, kinds), 1), escape * lower / np.where(full, 1, left))
-            probability = np.where(total > 0, probability, lower)
+            seen_share = 1 / np.maximum(total + np.where(full, 0, kinds), 1)
+            new_share = np.where(total > 0, escape / np.where(full, 1, left), 1)
+            # In place, a table being the largest thing that a worker holds.
+            np.multiply(counts, seen_share.astype(np.float32), out=counts)
+            np.multiply(lower, new_share.astype(np.float32), out=lower)
+            probability = np.where(counts > 0, counts, lower)
+            del counts, lower
             tables = np.concatenate([tables, probability], axis=1)
             rows = np.arange(tables.shape[1] - len(kept), tables.shape[1], dtype=np.int32)
             if order == 0:
@@ -103,7 +108,7 @@ class Tables:
         with np.errstate(divide="ignore"):
             bits = -np.log2(np.maximum(tables, 1e-12))
         bits[:, :, a - 1] += np.log2(unseen)  # the shared number is one of so many bytes
-        self.bits = np.ascontiguousarray(bits.transpose(1, 2, 0).reshape(-1, n_lang).astype(np.float32))
+        self.bits = np.ascontiguousarray(bits.transpose(1, 2, 0).reshape(-1, n_lang), np.float32)
 
     def code_lengths(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""

