@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsmith.llm.url_labels import labelled_urls
+
 ALLOW, BLOCK = "allow", "block"
 #: Hashed features, lengths of the n-grams, and training URLs at most (by a hash of the URL).
 FEATURES = 1 << 13
@@ -39,7 +41,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
     A rule fits its host and all subdomains, where the path starts with the rule's. Rules of one length: the later in code points.
     """
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule_host, rule_path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         found = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
@@ -90,16 +92,14 @@ def judge(
 ) -> DataFrame:
     """Per row: id, `host`, `path`, `rule`, `verdict`, `block_score` (of the classifier; NULL where a rule decided or nothing was learned).
 
-    Without a `labelled` table (`host`, `path`, `label`), the classifier learns from a bounded sample of the URLs that the
-    rules decide. Where it learned nothing, other URLs are allowed. NULL URLs and such without `://` have empty host and
+    Without a `labelled` table (`host`, `path`, `label`), the classifier learns from the one of `url_labels`, never from what the
+    rules say. Where it learned nothing, other URLs are allowed. NULL URLs and such without `://` have empty host and
     path and are judged like all others. Only the id and URL columns are read; an empty table gives no rows.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     ruled = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    if labelled is None:
-        labelled = ruled.where("_rule is not null").select("host", "path", (F.col("_rule.verdict") == BLOCK).cast("int").alias("label"))
-    model = train(labelled, features, sizes)
+    model = train(labelled_urls(pages.sparkSession) if labelled is None else labelled, features, sizes)
     if model is None:
         scored = ruled.withColumn("_score", F.lit(None).cast("double"))
     else:

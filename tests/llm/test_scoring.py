@@ -135,6 +135,17 @@ def test_url_rules_and_classifier(spark):
     assert op7_urls.judge(fresh.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_classifier_tells_hosts_apart_not_endings(spark):
+    endings, languages = ("com", "net", "org"), ("en", "de", "fr", "es")
+    # Names that the labelled table does not hold.
+    plain, unwanted = ["m.ththen", "www.therin", "tionble", "blog.thther", "bakery"], ["casino-win", "www.free-bets", "m.cheap-pills", "ads-track", "spam-farm", "blog.adult-x"]
+    urls = [(f"https://{name}.example.{e}/{x}/{n}31.html", name in unwanted) for n, name in enumerate(plain + unwanted) for e in endings for x in languages]
+    pages = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(urls)], "page_id long, url string")
+    out = op7_urls.judge(pages, queries.URL_RULES).where("rule is null").collect()
+    assert {urls[r.page_id][1] for r in out} == {False, True} and all(r.block_score is not None for r in out)
+    assert [urls[r.page_id][0] for r in out if (r.verdict == "block") != urls[r.page_id][1]] == []
+
+
 def test_mix_on_hard_rows(spark):
     rows = [*HARD, *[(100 + n, words(n % 40, n), "en", "abc"[n % 3]) for n in range(90)], *[(300 + n, words(5, n), "en", None) for n in range(4)]]
     table = docs(spark, rows)
