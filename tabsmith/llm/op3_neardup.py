@@ -25,8 +25,9 @@ SHINGLE_WORDS = 5
 SIMILAR = (4, 5)
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 28, about 1 in 70,000.
 BANDS, ROWS = 28, 5
-#: Buckets of up to so many documents are compared pair by pair; larger ones in blocks of about so many shingles.
-PAIRED_MEMBERS, BLOCK_SHINGLES = 8, 1 << 17
+#: Buckets of up to so many documents are compared pair by pair; larger ones in blocks of about so many shingles and
+#: documents at most: two blocks meet in arrays of shingles, and of documents x documents.
+PAIRED_MEMBERS, BLOCK_SHINGLES, BLOCK_DOCUMENTS = 8, 1 << 17, 1000
 #: Shingles that are compared at once within a block.
 COLUMNS = 2048
 
@@ -199,6 +200,12 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         first = lower
 
 
+def blocks_of(sizes: DataFrame) -> DataFrame:
+    """(label, blocks) of the clusters of (label, size): enough blocks for their shingles and for their documents."""
+    needed = F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCUMENTS))
+    return sizes.groupBy("label").agg(needed.cast("int").alias("blocks"))
+
+
 def compared_in_blocks(buckets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Links among the members of large buckets.
 
@@ -209,8 +216,7 @@ def compared_in_blocks(buckets: DataFrame, docs: DataFrame, id_col: str, text_co
     first = buckets.groupBy("band").agg(F.min("id").alias("a"))
     clusters = components(stored(buckets.join(first, "band").select("a", F.col("id").alias("b")).distinct()))
     sizes = clusters.join(buckets.select("id", "size").distinct(), "id")
-    blocks = sizes.groupBy("label").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = stored(sizes.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "label", "block", "blocks"))
+    placed = stored(sizes.join(blocks_of(sizes), "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "label", "block", "blocks"))
     sets = stored(shingle_sets(docs, placed.select("id"), id_col, text_col))
     met = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("id", "set", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))

@@ -93,6 +93,17 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert out == _classes(rows)
 
 
+def test_blocks_are_bounded_by_documents(spark, monkeypatch):
+    # Many short texts: few shingles, but as many array rows as texts.
+    sizes = spark.range(10_500).selectExpr("1L label", "26L size").union(spark.range(3).selectExpr("2L", "100000L"))
+    assert {r.label: r.blocks for r in op3_neardup.blocks_of(sizes).collect()} == {1: 11, 2: 3}
+    monkeypatch.setattr(op3_neardup, "BLOCK_DOCUMENTS", 10)
+    center = words(30, 8)
+    rows = [(n, _edited(center, 0.034, n)) for n in range(60)]
+    out = {r.doc_id: r.class_id for r in op3_neardup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert out == _classes(rows)
+
+
 def test_cuts_resist_insertions():
     text = words(400, 9).encode()
 
