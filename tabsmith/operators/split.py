@@ -161,9 +161,9 @@ def holdout_split(
 
 
 def _class_table(df: DataFrame, target: str, on_rare_class: str) -> DataFrame | None:
-    """(y, n) of every class, stored; None where the split cannot be stratified."""
+    """(y, n) of every class, NULL too, stored; None where the split cannot be stratified. A single NULL is no rare class."""
     table = checkpointed(df.groupBy(col(target).alias("y")).agg(F.count(F.lit(1)).alias("n")))
-    rare = [str(r["y"]) for r in table.filter("n < 2").orderBy("y").limit(20).collect()]
+    rare = [str(r["y"]) for r in table.filter("n < 2 and y is not null").orderBy("y").limit(20).collect()]
     if rare and on_rare_class == "error":
         raise ValueError(f"Target column '{target}' has rare classes with fewer than 2 samples: {rare}.")
     return None if rare else table
@@ -177,8 +177,8 @@ def _table_quotas(table: DataFrame, n: int, test_size: float) -> DataFrame:
     exact = F.col("n") * F.lit(float(n_train)) / F.lit(float(n))
     shares = table.select("y", "n", F.floor(exact).alias("train"), (exact - F.floor(exact)).alias("rest"))
     left = n_train - shares.agg(F.sum("train")).first()[0]
-    more = shares.orderBy(F.desc("rest"), "y").limit(left).select(F.col("y").alias("_y"), F.lit(1).alias("one"))
-    joined = shares.join(more, F.col("y") == F.col("_y"), "left")
+    more = shares.orderBy(F.desc("rest"), F.asc_nulls_last("y")).limit(left).select(F.col("y").alias("_y"), F.lit(1).alias("one"))
+    joined = shares.join(more, F.col("y").eqNullSafe(F.col("_y")), "left")
     return checkpointed(joined.select("y", (F.col("n") - F.col("train") - F.coalesce("one", F.lit(0))).alias("quota")))
 
 
@@ -193,7 +193,7 @@ def _split_by_table(df: DataFrame, target: str, quotas: DataFrame, seed: int, ke
     h = row_hash(rows.drop(RID), key, seed)
     known = cuts.select(F.col("y").alias("_y"), F.col("h").alias("_h"), F.col("rid").alias("_rid"))
     known = F.broadcast(known) if known.count() <= BROADCAST_CLASSES else known
-    placed = rows.withColumns({"_hash": h, "_row": rid.cast("bigint")}).join(known, col(target) == F.col("_y"), "left")
+    placed = rows.withColumns({"_hash": h, "_row": rid.cast("bigint")}).join(known, col(target).eqNullSafe(F.col("_y")), "left")
     chosen = F.coalesce((F.col("_hash") < F.col("_h")) | ((F.col("_hash") == F.col("_h")) & (F.col("_row") <= F.col("_rid"))), F.lit(False))
     return tuple(placed.filter(side).select(*[col(c) for c in df.columns]) for side in (~chosen, chosen))
 
@@ -204,8 +204,10 @@ def _cuts(rows: DataFrame, target: str, quotas: DataFrame, h: Column, rid: Colum
     keyed = rows.select(col(target).alias("y"), h.alias("h"), rid.cast("bigint").alias("rid"), bucket.alias("bucket"))
     before = F.sum("n").over(Window.partitionBy("y").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     held = keyed.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    last = held.join(quotas, "y").filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
-    inside = keyed.join(last.select("y", "bucket", (F.col("quota") - F.col("before")).alias("place")), ["y", "bucket"])
+    known = quotas.select(F.col("y").alias("_y"), "quota")
+    last = held.join(known, F.col("y").eqNullSafe(F.col("_y"))).filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
+    last = last.select("_y", F.col("bucket").alias("_bucket"), (F.col("quota") - F.col("before")).alias("place"))
+    inside = keyed.join(last, F.col("y").eqNullSafe(F.col("_y")) & (F.col("bucket") == F.col("_bucket")))
     order = Window.partitionBy("y").orderBy("h", "rid")
     ranked = inside.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("h").over(order))
     same = (F.col("next") == F.col("h")) & (F.lead("rid").over(order) == F.col("rid"))

@@ -147,3 +147,20 @@ def test_split_of_many_classes(spark):
         holdout_split(df.union(spark.sql("select 9999L, 'alone', 0L")), "y")
     train, test = holdout_split(df.union(spark.sql("select 9999L, 'alone', 0L")), "y", on_rare_class="plain")
     assert test.count() == 1201
+
+
+def test_split_of_missing_targets_by_filter_and_by_table(spark, monkeypatch):
+    from tabsmith.operators import split
+
+    df = spark.range(600).selectExpr("id", "case when id % 3 > 0 then id % 7 end y")
+    sizes = []
+    for most in (48, 5):
+        monkeypatch.setattr(split, "FILTER_CLASSES", most)
+        train, test = split.holdout_split(df, "y", test_size=0.25, key=["id"])
+        sizes.append([{r.y: r["count"] for r in side.groupBy("y").count().collect()} for side in (train, test)])
+        assert sum(sizes[-1][1].values()) == 150 and sizes[-1][1][None] == 50
+    assert sizes[0] == sizes[1]
+    # A single row without target is no rare class.
+    single = df.where("y is not null").union(spark.sql("select -1L, cast(null as bigint)"))
+    train, test = split.holdout_split(single, "y", test_size=0.25, key=["id"])
+    assert test.count() == 101 and train.count() == 300
