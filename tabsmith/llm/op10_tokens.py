@@ -3,7 +3,9 @@
 count(prefix) = count(words before it) + count(the part of the word it ends in), so one pass over the words of a text
 stores the exact count at every word end, and any prefix costs one part of a word more. Truncation
 ("how much of the text fits into b tokens") and cut questions ("how many tokens are in the first c characters") are
-answered from the stored counts; nothing is encoded again.
+answered from the stored counts of whole words. Counts inside words are not stored: the part of the word that a cut or a
+budget ends in is encoded again, for a budget ever shorter parts of it until one fits, so a single very long word that
+crosses the budget costs the square of its length.
 """
 
 from __future__ import annotations
