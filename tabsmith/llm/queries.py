@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsmith.llm import op1_multi_index, op2_packing, op3_neardup, op4_toxicity, op5_substrings, op6_mixing, op7_urls, op8_language, op9_repetition, op10_tokens
+from tabsmith.llm import op11_tree_dedup, op12_whitening, op13_variants
 from tabsmith.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +84,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", over.alias("over_limit"), F.col(f"chars_within_{TOKEN_LIMIT}").alias("fitting_chars"))
 
 
+def op11_tree_dedup_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; the largest id stays."""
+    return op11_tree_dedup.exact_duplicates(table(spark, sf_dir, "documents"), largest=True)
+
+
+def op12_whitening_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    return op12_whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spelling form and root of every long word."""
+    return op13_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -96,9 +112,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_ppm": op8_language_ppm,
         "op9_suffix_repetition": op9_suffix_repetition,
         "op10_token_counts": op10_token_counts,
+        "op11_tree_dedup_digests": op11_tree_dedup_digests,
+        "op12_whitening_cholesky": op12_whitening_cholesky,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op6_mixing_es": op6_mixing.MIX_SQL}
+    sql = {"op6_mixing_es": op6_mixing.MIX_SQL, "op11_tree_dedup_digests": op11_tree_dedup.DEDUP_SQL, "op13_spelling_variants": op13_variants.VARIANTS_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
