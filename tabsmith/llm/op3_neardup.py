@@ -28,6 +28,8 @@ BANDS, ROWS = 28, 5
 #: Buckets of up to so many documents are compared pair by pair; larger ones in blocks of about so many shingles and
 #: documents at most: two blocks meet in arrays of shingles, and of documents x documents.
 PAIRED_MEMBERS, BLOCK_SHINGLES, BLOCK_DOCUMENTS = 8, 1 << 17, 1000
+#: Bands that are sent to all tasks at most, because they hold more than this share of all entries each.
+HOT_BANDS = 2000
 #: Shingles that are compared at once within a block.
 COLUMNS = 2048
 
@@ -117,8 +119,8 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, digest of its words, shingles, band keys); texts without words and rows without id are left out."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(id, hash of the text, digest of its words, shingles, band keys); texts without words and rows without id are left out."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def sketch(batches):
         for batch in slices(batches, "text"):
@@ -131,29 +133,39 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
                     weights.append(times)
                     owner.append(np.full(len(found), len(keep)))
                     sizes.append(int(times.sum()))
-                    digests.append(hashlib.sha256(b" ".join(words)).digest())
+                    digests.append(digest_of(words))
                     keep.append(k)
             if not keep:
                 continue
             signed = bag_signatures(np.concatenate(elements), np.concatenate(weights), np.concatenate(owner), len(keep), bands * rows)
             keys = band_keys(signed, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=schema.names)
+            passed = [batch.column(c).take(pa.array(keep)) for c in ("id", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists], names=schema.names)
 
-    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), sketch, schema)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return in_batches(texts.where("id is not null and text is not null"), sketch, schema)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, numbered shingles) of the documents in `ids`."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
+def digest_of(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, numbered shingles) of the texts in `nodes` (node, id of a row that holds it, digest)."""
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def sets(batches):
         for batch in slices(batches, "text"):
-            found = [numbered(shingles(text.split())).view(np.int64) for text in raw(batch.column("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
+            words = [text.split() for text in raw(batch.column("text")).to_pylist()]
+            found = [numbered(shingles(w)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(map(digest_of, words), pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return in_batches(texts.join(sent(ids, ids.count()), "id", "left_semi"), sets, schema).dropDuplicates(["id"])
+    ids = nodes.select("id").distinct()
+    # Rows that share an id may hold other texts: the digest decides.
+    found = in_batches(texts.join(sent(ids, ids.count()), "id", "left_semi"), sets, schema)
+    return found.join(nodes.select("node", "digest"), "digest").dropDuplicates(["node"]).select("node", "set")
 
 
 def enough(shared, size_a, size_b):
@@ -162,11 +174,11 @@ def enough(shared, size_a, size_b):
     return shared * of >= (size_a + size_b - shared) * least
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose shingle multisets overlap enough."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = stored(shingle_sets(docs, ids, id_col, text_col))
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "id", "digest"))
+    sets = stored(shingle_sets(docs, wanted, id_col, text_col))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     return both.where(enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b")
 
 
@@ -206,71 +218,108 @@ def blocks_of(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("label").agg(needed.cast("int").alias("blocks"))
 
 
-def compared_in_blocks(buckets: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links among the members of large buckets.
-
-    Buckets that overlap are one cluster. Its documents are dealt by hash into blocks of bounded size, every two blocks meet in a
-    group of their own, and a group gives at most one link per document: to the first one of its linked documents. All pairs
-    are compared, none is written, and no group grows with the cluster.
-    """
-    first = buckets.groupBy("band").agg(F.min("id").alias("a"))
-    clusters = components(stored(buckets.join(first, "band").select("a", F.col("id").alias("b")).distinct()))
-    sizes = clusters.join(buckets.select("id", "size").distinct(), "id")
-    placed = stored(sizes.join(blocks_of(sizes), "label").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).select("id", "label", "block", "blocks"))
-    sets = stored(shingle_sets(docs, placed.select("id"), id_col, text_col))
-    met = placed.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("id", "set", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    schema = T.StructType([T.StructField("a", docs.schema[id_col].dataType), T.StructField("b", docs.schema[id_col].dataType)])
+def met_in_groups(met: DataFrame, label: str) -> DataFrame:
+    """Links (a, b) of the groups (label, low, high) of (node, set, side): one link at most per text, to the first it is linked with."""
 
     def compare(key, part):
-        part = part.sort_by("id")
+        part = part.sort_by([("node", "ascending"), ("side", "ascending")])
         column = part.column("set").combine_chunks()
         offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
         sets = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        first = linked_groups(sets, part.column("block").to_numpy() == key[2].as_py()) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-        own = np.flatnonzero(first != np.arange(len(sets)))
-        ids = part.column("id")
-        return pa.Table.from_arrays([ids.take(pa.array(first[own])), ids.take(pa.array(own))], names=["a", "b"])
+        first = linked_groups(sets, part.column("side").to_numpy(zero_copy_only=False)) if len(sets) > 1 else np.zeros(len(sets), np.int64)
+        nodes = part.column("node").to_numpy()
+        own = np.flatnonzero(nodes[first] != nodes)
+        return pa.Table.from_arrays([pa.array(nodes[first[own]]), pa.array(nodes[own])], names=["a", "b"])
+
+    ship(met.sparkSession)
+    return met.groupBy(label, "low", "high").applyInArrow(compare, "a long, b long")
 
-    ship(docs.sparkSession)
-    return met.groupBy("label", "low", "high").applyInArrow(compare, schema)
+
+def compared_in_blocks(buckets: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links among the members of large buckets (node, size, band, first node of the band).
+
+    Buckets that overlap are one cluster. Its texts are dealt by hash into blocks of bounded size. First every block is compared in
+    itself and with block 0, which joins a cluster of near copies of one text at once. Of each cluster the texts outside its largest class
+    so far are then compared with all of it, in groups of two blocks. All pairs of different classes are compared, none is written,
+    and no group grows with the cluster. Work grows with the cluster's size times the texts that lie outside its largest class.
+    """
+    clusters = components(stored(buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())).withColumnRenamed("id", "node")
+    sizes = clusters.join(buckets.select("node", "size").distinct(), "node")
+    placed = stored(sizes.join(blocks_of(sizes), "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).select("node", "size", "label", "block", "blocks"))
+    sets = stored(shingle_sets(docs, stored(nodes.join(placed.select("node"), "node", "left_semi").select("node", "id", "digest")), id_col, text_col))
+    full = stored(placed.join(sets, "node"))
+    others = F.sequence(F.least(F.lit(1), F.col("blocks") - 1), F.col("blocks") - 1)
+    group = F.explode(F.when(F.col("block") == 0, others).otherwise(F.array("block"))).alias("high")
+    links = stored(met_in_groups(full.select("node", "set", "label", F.lit(0).alias("low"), group, F.lit(False).alias("side")), "label"))
+    classes = components(links).withColumnRenamed("id", "node").withColumnRenamed("label", "class")
+    # Several blocks only: what is in one block has met.
+    many = placed.where("blocks > 1").join(classes, "node", "left").select("node", "size", "label", F.coalesce("class", "node").alias("class"))
+    counted = many.groupBy("label", "class").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("label").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
+    rest = stored(many.join(largest, "label").where(F.col("class") != F.col("largest")).select("node", "size", "label"))
+    if rest.isEmpty():
+        return links
+    asked = rest.join(blocks_of(rest).withColumnRenamed("blocks", "asking"), "label")
+    asked = asked.withColumn("low", F.pmod(F.xxhash64("node"), "asking").cast("int")).join(sets, "node")
+    asked = asked.join(placed.select("label", "blocks").distinct(), "label")
+    asked = asked.select("node", "set", "label", "low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("high"), F.lit(True).alias("side"))
+    told = full.join(blocks_of(rest).withColumnRenamed("blocks", "asking"), "label")
+    told = told.select("node", "set", "label", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("low"), F.col("block").alias("high"), F.lit(False).alias("side"))
+    return links.unionByName(met_in_groups(asked.unionByName(told), "label"))
+
+
+def shared_bands(distinct: DataFrame) -> DataFrame:
+    """(node, size, band, members, first) of every band that several texts share.
+
+    Bands with so many members that they would weigh on one task of a join are few, whatever the input, and are sent to all tasks.
+    """
+    keyed = distinct.select("node", "size", F.explode("bands").alias("band"))
+    shared = stored(keyed.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1"))
+    total = shared.agg(F.sum("members")).first()[0] or 0
+    # At most HOT_BANDS bands hold more than this.
+    hot = F.col("members") > max(PAIRED_MEMBERS, total // HOT_BANDS)
+    hot_bands = F.broadcast(shared.where(hot))
+    rest = keyed.join(hot_bands.select("band"), "band", "left_anti").join(shared.where(~hot), "band")
+    return keyed.join(hot_bands, "band").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, `class_id`, `class_size`) of every row: documents linked by a similarity of 0.8 or more, directly or over others, are a class.
+    """(id, `class_id`, `class_size`, `kept`, `text_hash`) of every row: texts linked by a similarity of 0.8 or more, directly or over
+    others, are a class.
 
-    The class id is the class's smallest id. Texts of the same words are one class at once; only one of them is
-    compared further. NULL texts, texts without words and rows with a NULL id are a class of their own (class id = id).
-    Rows that share an id count as one document. An empty table gives no rows; other columns are not read.
+    The class id is the smallest id among the class's rows, its size their number. Texts of the same words are one class at once; only one of
+    them is compared further. Rows that share an id but not the text are texts of their own. Of each class the row of the smallest id is
+    kept (of several, the one of the smallest digest); rows equal in id and words are kept or not together. NULL texts, texts without words and
+    rows with a NULL id are a class of their own (class id = id). An empty table gives no rows; other columns are not read.
 
     Documents that share a band meet in a bucket. Small buckets give pairs, which are verified once each; documents of large
-    buckets are compared in blocks. Either way every pair that shares a band is compared on its whole multisets.
+    buckets are compared in blocks. Either way every pair that shares a band is compared on its whole multisets, or known to be of one class.
     """
     sketched = stored(sketches(docs, id_col, text_col, bands, rows))
-    # Hot copies are combined before the shuffle.
-    distinct = stored(sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    keyed = distinct.select("id", "size", F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = stored(keyed.join(shared, "band"))
+    # Hot copies are combined before the shuffle. Nodes are numbers of distinct texts, fixed by the written table.
+    grouped = sketched.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    distinct = stored(grouped.withColumn("node", F.monotonically_increasing_id()))
+    buckets = stored(shared_bands(distinct))
     small, large = buckets.where(F.col("members") <= PAIRED_MEMBERS), buckets.where(F.col("members") > PAIRED_MEMBERS)
     # No pair can be similar whose sizes are further apart than the similarity.
-    near = (F.col("x.id") < F.col("y.id")) & enough(F.least("x.size", "y.size"), F.col("x.size"), F.col("y.size"))
+    near = (F.col("x.node") < F.col("y.node")) & enough(F.least("x.size", "y.size"), F.col("x.size"), F.col("y.size"))
     pairs = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & near)
-    pairs = stored(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    links = verified(pairs, docs, id_col, text_col)
+    pairs = stored(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    links = verified(pairs, distinct, docs, id_col, text_col)
     if not large.isEmpty():
-        links = links.unionByName(compared_in_blocks(large, docs, id_col, text_col))
-    labels = components(stored(links))
-    named = distinct.join(labels, "id", "left").select("digest", "copies", F.coalesce("label", "id").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    named = named.join(sizes, "class_id").select("digest", "class_id", "class_size")
-    classed = sketched.select("id", "digest").join(named, "digest").select("id", "class_id", "class_size")
+        links = links.unionByName(compared_in_blocks(large, distinct, docs, id_col, text_col))
+    labels = components(stored(links)).withColumnRenamed("id", "node")
+    named = stored(distinct.join(labels, "node", "left").select("digest", "id", "copies", F.coalesce("label", "node").alias("label")))
+    classes = named.groupBy("label").agg(F.min(F.struct("id", "digest")).alias("first"), F.sum("copies").alias("class_size"))
+    named = named.join(classes, "label").select("digest", F.col("first.id").alias("class_id"), F.col("first.digest").alias("first"), "class_size")
+    kept = (F.col("id") == F.col("class_id")) & (F.col("digest") == F.col("first"))
+    classed = sketched.select("id", "text_hash", "digest").join(named, "digest").select("id", "class_id", "class_size", kept.alias("kept"), "text_hash")
     rest = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    rest = rest.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    rest = rest.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"), F.xxhash64("text").alias("text_hash"))
     return classed.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest id of each class."""
-    classes = near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without all but one row of each class: the one of the smallest id."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti").select(*docs.columns)

@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunks: a gear rolling hash cuts the texts, chunks of the same digest are one.
 
 A cut depends on the sixteen bytes before it, so after an insertion the cuts fall into step again and a passage
-gives the same chunks in every document. Of a chunk found in several documents, the one in the document of the smallest id
-stays; in the others, runs of such chunks that hold enough words go.
+gives the same chunks in every document. Of a chunk found several times, the first one stays: in the text of the smallest id (of several
+texts, that of the smallest hash), at its first place; elsewhere, runs of such chunks that hold enough words go.
 """
 
 from __future__ import annotations
@@ -80,8 +80,8 @@ def chunks_of(column: pa.Array):
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, place, two halves of the digest) of every chunk."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("place", T.IntegerType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])
+    """(id, hash of the text, place, two halves of the digest) of every chunk."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())])
 
     def split(batches):
         for batch in slices(batches, "text"):
@@ -95,18 +95,20 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 place.append(np.arange(len(ends), dtype=np.int32))
             if digests:
                 halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                columns = [batch.column("id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(place))]
+                columns = [batch.column(c).take(pa.array(np.concatenate(owner))) for c in ("id", "text_hash")] + [pa.array(np.concatenate(place))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=schema.names)
 
-    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), split, schema)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return in_batches(texts.where("id is not null and text is not null"), split, schema)
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, places of chunks found in a document of smaller id, those ids)."""
+    """(id, hash of the text, places of chunks found before, and in which id). Rows equal in id and text are one text."""
     found = chunks(docs, id_col, text_col)
-    several = found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
-    again = found.join(several.select("d1", "d2", "first"), ["d1", "d2"]).where(F.col("id") > F.col("first"))
-    return again.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "first"))).alias("again"))
+    at = F.struct("id", "text_hash", "place")
+    several = found.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") < F.col("last"))
+    again = found.join(several.select("d1", "d2", "first"), ["d1", "d2"]).where(at > F.col("first"))
+    return again.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("place", F.col("first.id").alias("first")))).alias("again"))
 
 
 def cut_out(text: bytes, ends: list[int], again: list[dict], run_words: int) -> tuple[bytes, list[tuple[int, int]], set]:
@@ -137,9 +139,10 @@ def cut_out(text: bytes, ends: list[int], again: list[dict], run_words: int) ->
 def remove_repeats(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, `carry`, the text without its repeated passages, `removed_bytes`, `removed_words`, `spans` (bytes from, to), `first_ids`.
 
-    A passage stays in the document of the smallest id that holds it; what repeats within one document only stays. NULL texts
-    stay NULL, empty ones empty; rows with a NULL id are left as they are. Rows that share an id count as one document. A
-    removed run never cuts a word. An empty table gives no rows. `carry` names the other columns that are passed on.
+    A passage stays where it comes first: in the text of the smallest id that holds it, once. NULL texts stay NULL, empty ones empty; rows with
+    a NULL id are left as they are. Rows that share an id but not the text are texts of their own (the smaller hash comes first);
+    rows equal in both count as one text, and all of them keep what it keeps. A removed run never cuts a word. An empty table gives no rows. `carry`
+    names the other columns that are passed on; none may have the name of a result column.
     """
     id_type = docs.schema[id_col].dataType
     kept = list(dict.fromkeys([id_col, *carry]))
@@ -148,7 +151,9 @@ def remove_repeats(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "d
         [docs.schema[c] for c in kept]
         + [T.StructField(text_col, T.StringType()), T.StructField("removed_bytes", T.LongType()), T.StructField("removed_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("first_ids", T.ArrayType(id_type))]
     )
-    texts = docs.select(*kept, F.col(text_col).alias("_text")).join(repeated(docs, id_col, text_col).withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left").drop("_id")
+    places = repeated(docs, id_col, text_col).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "again")
+    texts = docs.select(*kept, F.col(text_col).alias("_text"))
+    texts = texts.join(places, (F.col(id_col) == F.col("_id")) & (F.xxhash64("_text") == F.col("_hash")), "left").drop("_id", "_hash")
 
     def remove(batches):
         for batch in slices(batches, "_text"):
@@ -156,8 +161,6 @@ def remove_repeats(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "d
             again = batch.column("again").to_pylist()
             null = batch.column("_text").is_null().to_pylist()
             for (text, ends), found, none in zip(chunks_of(batch.column("_text")), again, null, strict=True):
-                # Ids shared by several rows may name places that this text does not have.
-                found = [x for x in found or [] if x["place"] < len(ends)]
                 left, spans, firsts = cut_out(text, ends, found, run_words) if found else (text, [], set())
                 words = sum(len(text[a:b].split()) for a, b in spans)
                 out.append((None if none else left.decode(errors="replace"), len(text) - len(left), words, [{"low": a, "high": b} for a, b in spans], sorted(firsts)))

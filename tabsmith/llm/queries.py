@@ -36,8 +36,7 @@ def op2_packing_ffd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document; one of each class stays."""
-    classes = op3_neardup.near_duplicates(table(spark, sf_dir, "documents"))
-    return classes.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return op3_neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op4_toxicity_nb(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,30 @@ def test_classes_equal_brute_force(spark):
     assert op3_neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    base = words(60, 41)
+    rows = [(1, words(50, 40)), (1, base), (2, _edited(base, 0.02, 1)), (2, words(50, 42)), (3, words(50, 40)), (3, words(50, 40))]
+    for order in (rows, rows[::-1]):
+        out = op3_neardup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in order])).collect()
+        # Two classes of texts around id 1, and one text alone.
+        assert sorted((r.doc_id, r.class_id, r.class_size) for r in out) == [(1, 1, 2), (1, 1, 3), (2, 1, 2), (2, 2, 1), (3, 1, 3), (3, 1, 3)]
+        left = op3_neardup.one_of_each(docs(spark, [(i, t, "en", "a") for i, t in order])).collect()
+        assert sorted((r.doc_id, r.text) for r in left) == sorted([rows[0], rows[1], rows[3]])
+
+
+def test_template_copies_are_not_squared(spark, monkeypatch):
+    monkeypatch.setattr(op3_neardup, "BLOCK_DOCUMENTS", 50)
+    groups = []
+    real = op3_neardup.met_in_groups
+    monkeypatch.setattr(op3_neardup, "met_in_groups", lambda met, label: groups.append(met.select(label, "low", "high").distinct().count()) or real(met, label))
+    center = words(80, 9)
+    rows = [(n, _edited(center, 0.02, n)) for n in range(1000)]
+    out = {r.doc_id: r.class_id for r in op3_neardup.near_duplicates(docs(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert set(out.values()) == {0}
+    # 20 blocks: one group each with block 0, and none of the 190 others.
+    assert groups[0] <= 20 and sum(groups[1:]) <= 20
+
+
 def test_large_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op3_neardup, "BLOCK_SHINGLES", 800)
     monkeypatch.setattr(op3_neardup, "COLUMNS", 16)
@@ -129,7 +153,7 @@ def test_passages_leave_all_but_the_first(spark):
     assert out[0].text == original[0] and out[50].text == original[50] and out[None].text == passage
     assert out[51].text is None and out[52].text == ""
     for n in (1, 2, 3, 4, 53):
-        assert out[n].removed_words >= 30 and out[n].first_ids == [0]
+        assert out[n].removed_words >= 30 and out[n].first_ids[0] == 0
         raw = original[n].encode()
         cut = b"".join(raw[a:b] for a, b in zip([0, *[s.high for s in out[n].spans]], [*[s.low for s in out[n].spans], len(raw)], strict=True))
         assert cut.decode() == out[n].text
@@ -139,6 +163,39 @@ def test_passages_leave_all_but_the_first(spark):
     assert op5_substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
+def _left(rows, hashes):
+    """Rows (id, text) without repeated runs, by plain loops over the chunks of all texts in order."""
+    parts = {}
+    for k, (i, text) in enumerate(rows):
+        data = text.encode()
+        ends = op5_substrings.cuts(data, op5_substrings.candidates(np.frombuffer(data, np.uint8)).tolist())
+        parts[i, hashes[k]] = data, ends, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    seen, out = set(), {}
+    for key in sorted(parts):
+        data, ends, chunks = parts[key]
+        again = []
+        for place, chunk in enumerate(chunks):
+            if chunk in seen:
+                again.append({"place": place, "first": 0})
+            seen.add(chunk)
+        out[key] = op5_substrings.cut_out(data, ends, again, op5_substrings.RUN_WORDS)[0].decode()
+    return [out[i, hashes[k]] for k, (i, _) in enumerate(rows)]
+
+
+def test_repeats_equal_brute_force_with_shared_ids(spark):
+    shared = [words(40, 900 + k) for k in range(3)]
+    unique = [words(60, 950 + k) for k in range(4)]
+    rows = [(1, shared[0]), (5, shared[0]), (5, unique[0]), (5, f"{unique[1]} {shared[1]} tail"), (6, f"{shared[1]} {unique[2]} {shared[1]}"), (6, shared[2]), (2, f"{unique[3]}\n{unique[3]}"), (7, f"é {shared[2]}")]
+    for order in (rows, rows[::-1]):
+        table = docs(spark, [(i, t, "en", "a") for i, t in order])
+        hashes = [r[0] for r in table.selectExpr("xxhash64(text)").collect()]
+        got = sorted((r.doc_id, r.text) for r in op5_substrings.remove_repeats(table).collect())
+        assert got == sorted((i, t) for (i, _), t in zip(order, _left(order, hashes), strict=True))
+        left = " ".join(t for _, t in got)
+        # What is found nowhere else stays, once.
+        assert all(u in left for u in unique) and (5, unique[0]) in got
+
+
 def test_whole_copies_go_in_the_stage(spark):
     text = words(100, 4)
     left = op5_substrings.without_repeats(docs(spark, [(1, text, "en", "a"), (2, text, "en", "a")])).collect()
