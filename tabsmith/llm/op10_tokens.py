@@ -1,11 +1,9 @@
 """Token counts by prefix dynamic programming.
 
-count(prefix) = count(words before it) + count(the part of the word it ends in), so one pass over the words of a text
-stores the exact count at every word end, and any prefix costs one part of a word more. Truncation
-("how much of the text fits into b tokens") and cut questions ("how many tokens are in the first c characters") are
-answered from the stored counts of whole words. Counts inside words are not stored: the part of the word that a cut or a
-budget ends in is encoded again, for a budget ever shorter parts of it until one fits, so a single very long word that
-crosses the budget costs the square of its length.
+count(prefix) = count(words before it) + count(the part of the word it ends in). One pass over the words of a text stores the exact
+count at every word end; the counts at every prefix of a word come from dynamic programming over its letters (`prefixes.py`), once
+per word, in time linear in its length. Truncation ("how much of the text fits into b tokens") and cut questions ("how many
+tokens are in the first c characters") are answered from stored counts; nothing is encoded again.
 """
 
 from __future__ import annotations
@@ -21,57 +19,60 @@ from pyspark.sql import types as T
 from tabsmith.llm.common import in_batches, raw, slices
 from tabsmith.llm.tokens import WordTokenizer, tokenizer_text, word_tokenizer
 
-_WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
+_WORDS = re.compile(r"[^\x20\x09-\x0d]+")
 
 
 class PrefixCounts:
     """Exact token counts of all prefixes of one text (positions in characters)."""
 
     def __init__(self, tokenizer: WordTokenizer, text: bytes) -> None:
-        self.tokenizer, self.text = tokenizer, text
+        self.tokenizer, self.raw = tokenizer, text
         words = text.split()
         self.counts = np.zeros(len(words) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, tokenizer.words(words)), np.int64, len(words)) // 4, out=self.counts[1:])
-        self._spans: tuple[np.ndarray, np.ndarray] | None = None
+        self._text: str | None = None
 
     @property
     def total(self) -> int:
         return int(self.counts[-1])
 
-    def _bytes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word starts and ends, in bytes."""
-        if self._spans is None:
-            at = np.array([m.span() for m in _WORDS.finditer(self.text)], np.int64).reshape(-1, 2)
-            self._spans = at[:, 0], at[:, 1]
-        return self._spans
-
-    def _part(self, part: bytes) -> int:
-        return len(self.tokenizer.encode(part.decode(errors="replace"))) // 4 if part else 0
-
-    def at_byte(self, end: int) -> int:
-        """Tokens of the first `end` bytes (a character boundary)."""
-        starts, _ = self._bytes()
-        k = int(np.searchsorted(starts, end, side="left"))  # words that start before the cut
-        if not k:
-            return 0
-        word = self.text[starts[k - 1] : end]
-        return int(self.counts[k - 1]) + self._part(word.rstrip(b" \t\n\r\x0b\x0c"))
+    @property
+    def text(self) -> str:
+        if self._text is None:
+            self._text = self.raw.decode(errors="replace")
+            at = np.array([m.span() for m in _WORDS.finditer(self._text)], np.int64).reshape(-1, 2)
+            self.starts, self.ends = at[:, 0], at[:, 1]
+        return self._text
+
+    def inside(self, k: int, limit: int | None = None) -> np.ndarray:
+        """Counts at every prefix of word k; with a limit, at those that may be within it."""
+        return self.tokenizer.prefixes(self.text[self.starts[k] : self.ends[k]], limit)
 
     def at(self, chars: int) -> int:
         """Tokens of the first `chars` characters."""
-        return self.at_byte(len(self.text.decode(errors="replace")[: max(chars, 0)].encode()))
+        chars = min(max(chars, 0), len(self.text))
+        k = int(np.searchsorted(self.starts, chars, side="left"))  # words that start before the cut
+        if not k or self.ends[k - 1] <= chars:
+            return int(self.counts[k])
+        return int(self.counts[k - 1] + self.inside(k - 1)[chars - self.starts[k - 1]])
+
+    def every(self) -> np.ndarray:
+        """Counts at all prefixes of the text, the empty one first."""
+        out = np.zeros(len(self.text) + 1, np.int64)
+        out[self.ends] = np.diff(self.counts)
+        out = np.cumsum(out)
+        for k in range(len(self.starts)):
+            out[self.starts[k] : self.ends[k] + 1] = self.counts[k] + self.inside(k)
+        return out
 
     def within(self, budget: int) -> int:
         """Characters of the longest prefix of at most `budget` tokens."""
         if self.total <= budget:
-            return len(self.text.decode(errors="replace"))
+            return len(self.text)
         k = int(np.searchsorted(self.counts, budget, side="right")) - 1  # whole words that fit
-        starts, ends = self._bytes()
-        word = self.text[starts[k] : ends[k]].decode(errors="replace")
-        left = budget - int(self.counts[k])
         # A part of a word may need more tokens than a longer part: the longest one that fits counts.
-        part = next((n for n in range(len(word) - 1, 0, -1) if self._part(word[:n].encode()) <= left), 0)
-        return len(self.text[: starts[k]].decode(errors="replace")) + part
+        start, left = int(self.starts[k]) if len(self.text) else 0, int(budget - self.counts[k])
+        return start + int(np.flatnonzero(self.inside(k, left) <= left)[-1])
 
 
 def prefix_counts(
@@ -84,8 +85,8 @@ def prefix_counts(
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, `n_bytes`, `n_tokens`, for each budget b `chars_within_b` (characters of the longest prefix of at most b
-    tokens), for each cut c `tokens_at_c` (tokens of the first c characters); with `table` also `word_counts`, the count
-    at every word end.
+    tokens), for each cut c `tokens_at_c` (tokens of the first c characters); with `table` also `counts`, the count at every
+    prefix (the empty one first).
 
     NULL and empty texts count as empty; a NULL id is carried as it is; equal rows give equal rows; other columns of the
     input are not read, whatever their names. An empty table gives no rows. One text is held by one task as a whole.
@@ -93,7 +94,7 @@ def prefix_counts(
     content = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField(f"chars_within_{b}", T.LongType()) for b in budgets] + [T.StructField(f"tokens_at_{c}", T.LongType()) for c in cuts]
-    fields += [T.StructField("word_counts", T.ArrayType(T.LongType()))] * table
+    fields += [T.StructField("counts", T.ArrayType(T.LongType()))] * table
 
     def count(batches):
         tokenizer = word_tokenizer(content.value)
@@ -101,7 +102,7 @@ def prefix_counts(
             rows = []
             for text in raw(batch.column(text_col)).to_pylist():
                 counts = PrefixCounts(tokenizer, text)
-                rows.append([len(text), counts.total, *map(counts.within, budgets), *map(counts.at, cuts)] + [counts.counts[1:].tolist()] * table)
+                rows.append([len(text), counts.total, *map(counts.within, budgets), *map(counts.at, cuts)] + ([counts.every().tolist()] if table else []))
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=[f.name for f in fields])
 

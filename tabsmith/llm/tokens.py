@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from tabsmith.llm.prefixes import Merges, prefix_counts
+
 #: Words that one worker keeps the ids of, twice (a young and an old half).
 CACHE_WORDS = 150_000
 #: Characters whose normal form, lower case and class are the same in every library.
@@ -43,6 +45,7 @@ def separable(spec: dict) -> bool:
         and not parts[1].get("add_prefix_space")
         and parts[1].get("use_regex") is False
         and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
+        and [*regex.findall(r"\\p\{L\}|\\p\{N\}|'\w+", parts[0]["pattern"]["Regex"])] == ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", r"\p{L}", r"\p{N}", r"\p{L}", r"\p{N}"]
         and not any(any(c.isspace() for c in x["content"]) for x in spec.get("added_tokens", []))
     )
 
@@ -89,6 +92,28 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.memo = _Memo(self.encode)
         self.units: dict[str, bytes] = {}
+        self.specials = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens", [])) or "(?!)").finditer
+        self._spec = spec["model"]
+        self.prefix_memo: dict[str, np.ndarray] = {}
+
+    @cached_property
+    def merges(self) -> Merges:
+        """Built where a count inside a word is first asked for."""
+        return Merges(self._spec, self.letters)
+
+    def prefixes(self, word: str, limit: int | None = None) -> np.ndarray:
+        """Token counts of all prefixes of a word (a text without ASCII white space), the empty one first; with a limit, the longest
+        ones may be left out where all of them have more tokens."""
+        found = self.prefix_memo.get(word)
+        if found is None:
+            if limit is not None:
+                return np.array(prefix_counts(self.merges, self.specials, word, limit), np.int64)
+            found = np.array(prefix_counts(self.merges, self.specials, word), np.int64)
+            if len(self.prefix_memo) >= CACHE_WORDS:
+                self.prefix_memo.clear()
+            if len(word) <= 64:
+                self.prefix_memo[word] = found
+        return found
 
     def _unit(self, unit: str) -> bytes:
         ids = self.units.get(unit)

@@ -48,10 +48,34 @@ def test_every_prefix(library, own):
         counts = op10_tokens.PrefixCounts(own, text.encode())
         exact = [len(library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
         assert [counts.at(n) for n in range(len(text) + 1)] == exact
+        assert counts.every().tolist() == exact
         for budget in (0, 1, 2, 5, 9, 1000):
             assert counts.within(budget) == max(n for n, c in enumerate(exact) if c <= budget)
 
 
+def test_every_prefix_of_long_random_words(library, own):
+    rng = random.Random(6)
+    alphabets = ["etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aZé'sretlvmd!", "日本語한국각", "e\u0301\u0302\u0323\u0301o\u0308q", "'rvlesx1 \u1100\u1161\u11a8<|>", "aΣİßǅﬁ²x\u00a0\u2028\x1c\x85", "0123456789abcdefABCDEF+/="]
+    for _ in range(120):
+        letters = rng.choice(alphabets)
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 90))) + rng.choice(["", "<|endoftext|>", "'re", "!<|startoftext|>'ll"])
+        exact = [len(library.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
+        assert op10_tokens.PrefixCounts(own, text.encode()).every().tolist() == exact, text
+
+
+def test_one_very_long_word(library, own, monkeypatch):
+    rng = random.Random(7)
+    word = "".join(rng.choice("etaoinshrdlucmf") for _ in range(60_000))
+    counts = op10_tokens.PrefixCounts(own, word.encode())
+    monkeypatch.setattr(own, "encode", None)  # nothing is encoded again
+    inside = counts.inside(0)
+    assert inside[-1] == counts.total == len(library.encode(word, add_special_tokens=False).ids)
+    for n in (1, 1000, 59_999):
+        assert inside[n] == counts.at(n) == len(library.encode(word[:n], add_special_tokens=False).ids)
+    fit = counts.within(2048)
+    assert inside[fit] <= 2048 < inside[fit + 1 :].min()
+
+
 def test_counts_query_shape(spark, library):
     rows = [(1, None, None, None), (2, "", "en", "a"), (None, "two words", "en", "a"), (3, words(3000, 1), "en", "a"), (3, "same id", None, "b"), (3, "same id", None, "b")]
     out = op10_tokens.prefix_counts(docs(spark, rows), PATH, budgets=(5,), cuts=(3,), table=True).collect()
@@ -60,7 +84,7 @@ def test_counts_query_shape(spark, library):
         text = text or ""
         assert (row.doc_id, row.n_bytes, row.n_tokens) == (i, len(text.encode()), len(library.encode(text).ids))
         assert row.tokens_at_3 == len(library.encode(text[:3]).ids)
-        assert (row.word_counts or [0])[-1] == row.n_tokens
+        assert row.counts[-1] == row.n_tokens and len(row.counts) == len(text) + 1
     assert op10_tokens.prefix_counts(docs(spark, []), PATH).count() == 0
 
 
