@@ -34,18 +34,41 @@ def quality_weight(text: Column, size: Column) -> Column:
     return F.greatest(size, F.lit(1)) / (F.greatest(size, F.lit(1)) + symbols)
 
 
-def uniform(id_: Column) -> Column:
-    """A number between 0 and 1 from the first 52 bits of the id's MD5; the same in every run."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
+def uniform(id_: Column, copy: Column) -> Column:
+    """A number between 0 and 1 from the first 52 bits of an MD5 of the id, and of the copy's number from the second copy on."""
+    seed = F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.when(copy > 0, F.concat(F.lit(":"), copy.cast("string"))).otherwise(""))
+    bits = F.conv(F.substring(F.md5(seed.cast("binary")), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = ()) -> DataFrame:
-    """id, source, `size`, `key` (and `carry`) of each row."""
+    """id, source, `_size`, `_weight` (and `carry`) of each row."""
     text = F.col(text_col)
     rows = docs.select(*dict.fromkeys([id_col, source_col, *carry]), word_count(text).alias("_size"), text.alias("_text"))
-    key = -F.log(uniform(F.col(id_col))) / quality_weight(F.col("_text"), F.col("_size"))
-    return rows.select("*", key.alias("_key")).drop("_text")
+    return rows.select("*", quality_weight(F.col("_text"), F.col("_size")).alias("_weight")).drop("_text")
+
+
+def with_keys(rows: DataFrame, id_col: str, copy: Column) -> DataFrame:
+    return rows.withColumn("_key", -F.log(uniform(F.col(id_col), copy)) / F.col("_weight"))
+
+
+def copy_numbers(rows: DataFrame, alike: Sequence[str]) -> DataFrame:
+    """(`_place`, `_copy`) of the rows with a `_place` that are not the first ones equal in the columns `alike`, numbered from 1.
+
+    Rows are numbered within stretches of 65,536 places, and stretches by the counts of those before, so copies of
+    one row, however many, never meet in one task.
+    """
+    rows = rows.select("_place", *alike).withColumn("_run", F.shiftright("_place", 16))
+    counts = rows.groupBy("_run", *alike).count()
+    before = F.sum("count").over(W.partitionBy(*alike).orderBy("_run").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("_run", *alike, F.coalesce(before, F.lit(0)).alias("_before"))
+    inner = F.row_number().over(W.partitionBy("_run", *alike).orderBy("_place")) - 1
+    placed = rows.withColumn("_inner", inner).where((F.col("_inner") > 0) | (F.col("_run") > 0)).alias("x")
+    same = F.col("x._run") == F.col("y._run")
+    for c in alike:
+        same &= F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    numbered = placed.join(counts.alias("y"), same).select("x._place", (F.col("y._before") + F.col("x._inner")).alias("_copy"))
+    return numbered.where("_copy > 0")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -115,12 +138,23 @@ def mix(
     """Per row: id, source, `carry`, `size` (words), `source_size`, `target` (words of its source), `copies` and `taken` (words of all copies).
 
     Sources in order of code points, NULL last and a source of its own, have the weights by turns. NULL texts have size 0 and are
-    never needed. A source of size 0 has target 0. Ties of keys are broken by id, then size; rows that are equal in all
-    three are taken together. Reruns take the same documents. An empty table gives no rows. Other columns may have any names.
+    never needed. A source of size 0 has target 0. Ties of keys are broken by id, then size. Rows that are equal in source, id, size and
+    weight draw keys of their own, by their number among them. Reruns take the same documents. An empty table gives no rows. Other
+    columns may have any names.
     """
-    rows = sized(docs, id_col, text_col, source_col, carry)
-    # Sizes and keys cost a look at the whole texts, so the plan reads a small table of them.
-    plan = source_plan(stored(sized(docs, id_col, text_col, source_col)), id_col, source_col, weights, share, most, buckets)
+    # Sizes and weights cost a look at the whole texts, so the plan reads a small table of them.
+    small = stored(sized(docs, id_col, text_col, source_col))
+    alike = [source_col, id_col, "_size", "_weight"]
+    if small.groupBy(*alike).count().where("count > 1").isEmpty():
+        first = F.lit(0)
+        rows, small = with_keys(sized(docs, id_col, text_col, source_col, carry), id_col, first), with_keys(small, id_col, first)
+    else:
+        # Numbers of copies hold for one reading of the rows only, so the rows are written with their places.
+        placed = stored(sized(docs, id_col, text_col, source_col, carry).withColumn("_place", F.monotonically_increasing_id()))
+        copies = placed.join(stored(copy_numbers(placed, alike)), "_place", "left")
+        rows = stored(with_keys(copies, id_col, F.coalesce("_copy", F.lit(0))).drop("_place", "_copy"))
+        small = rows.select(*dict.fromkeys([id_col, source_col]), "_size", "_key")
+    plan = source_plan(small, id_col, source_col, weights, share, most, buckets)
     joined = _by_source(rows, plan, source_col)
     at = F.floor((1 - F.exp(-F.col("_key"))) * buckets)
     place = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("id"), F.col("_size").alias("size"))
@@ -142,11 +176,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), weighted AS (
+  SELECT doc_id, source, size, greatest(size, 1)::DOUBLE / (greatest(size, 1) + coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0)) AS weight FROM sized
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source, doc_id, size, weight) - 1 AS copy FROM weighted
 ), keyed AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-      / (greatest(size, 1)::DOUBLE / (greatest(size, 1) + coalesce(length(text) - length(translate(text, '#*$%&|<>', '')), 0))) AS key
-  FROM sized
+    -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || CASE WHEN copy > 0 THEN ':' || copy ELSE '' END), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight AS key
+  FROM numbered
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (

@@ -163,6 +163,24 @@ def test_mix_on_hard_rows(spark):
     assert op6_mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_of_many_equal_rows(spark, tmp_path):
+    rows = [(7, words(50, 1), "en", "a")] * 400 + [(100 + n, words(20, n), "en", "b") for n in range(300)] + [(None, words(9, n), "en", "c") for n in range(200)]
+    table = docs(spark, rows).repartition(6)
+    out = op6_mixing.mix(table, buckets=16).toPandas()
+    for _, part in out.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max() / 2 + 1e-6
+    assert len(out) == len(rows) and (out.taken <= 3 * out["size"]).all()
+    left = op6_mixing.mixed_documents(table)
+    assert left.columns == table.columns and left.count() == out.copies.sum()
+    # The same in SQL; more than one stretch of places.
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(op6_mixing.MIX_SQL).df()
+    order = ["size", "source_size", "taken"]
+    assert sorted(out[order].values.tolist()) == sorted(want[order].values.tolist())
+
+
 def test_mix_equals_sql(spark):
     got = queries.op6_mixing_es(spark, DATA).toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
