@@ -7,25 +7,23 @@ import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel, keyword_only
-from pyspark.ml import PipelineModel, Transformer
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_text, col, nan_to_null
 from tabsmith.functions.jobs import pinned
 from tabsmith.operators.autoconfig import detect_leakage, resolve_target
+from tabsmith.operators.boosting import SoftmaxBooster
 from tabsmith.operators.metrics import classification_metrics, confusion_counts, full_class_report
 from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor
 from tabsmith.operators.ratios import RatioFeatures
@@ -64,29 +62,9 @@ def make_learner(kind: str, n_rows: int, n_classes: int, seed: int, weighted: bo
         return DecisionTreeClassifier(seed=seed, **args)
     if kind == "random_forest":
         return RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, **args)
-    boosted = GBTClassifier(seed=seed, **args)
     if n_classes == 2:
-        return boosted
-    return OneVsRest(classifier=boosted, featuresCol=FEATURES, labelCol=LABEL, parallelism=min(4, n_classes))
-
-
-class MarginProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """Probabilities for one-vs-rest margins: logistic of each margin, normalised."""
-
-    rawCol = Param(Params._dummy(), "rawCol", "margin vector", TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, *, rawCol="rawPrediction"):
-        super().__init__()
-        self._setDefault(rawCol="rawPrediction")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        each = F.transform(vector_to_array(F.col(self.getOrDefault(self.rawCol))), lambda m: 1.0 / (1.0 + F.exp(m * -2.0)))
-        df = df.withColumn("_each", each)
-        total = F.aggregate("_each", F.lit(0.0), lambda a, x: a + x)
-        share = F.transform("_each", lambda x: x / F.greatest(total, F.lit(1e-300)))
-        return df.withColumn("probability", array_to_vector(share)).drop("_each")
+        return GBTClassifier(seed=seed, **args)
+    return SoftmaxBooster(seed=seed, numClasses=n_classes, **args)
 
 
 def label_index(target: str, classes: list, dtype: str) -> Column:
@@ -235,8 +213,7 @@ def fit_learner(prepared: DataFrame, features: list[str], learner, stages: list,
     vectors = assembler.transform(scaler.transform(prepared)).select(*keep, FEATURES)
     with clock.measure("model_training_sec"), stored(vectors) as ready:
         fitted = learner.fit(ready)
-    tail = [MarginProbability()] if isinstance(learner, OneVsRest) else []
-    return PipelineModel([*stages, scaler, assembler, fitted, *tail])
+    return PipelineModel([*stages, scaler, assembler, fitted])
 
 
 def train_hybrid(
@@ -270,7 +247,7 @@ def train_hybrid(
 
 
 def diagnostics(pipeline: PipelineModel) -> dict:
-    learner = next(s for s in reversed(pipeline.stages) if not isinstance(s, MarginProbability))
+    learner = pipeline.stages[-1]
     iterations = None
     if getattr(learner, "hasSummary", False):
         iterations = int(learner.summary.totalIterations)
@@ -306,14 +283,12 @@ def feature_importance(model: TrainedModel, mode: str = "first_class", top: int
     For several classes a linear model shows the row of the first class, or with
     ``mode="mean_abs"`` the mean over the rows.
     """
-    learner = next(s for s in reversed(model.pipeline.stages) if not isinstance(s, MarginProbability))
+    learner = model.pipeline.stages[-1]
     if hasattr(learner, "coefficientMatrix"):
         m = abs(learner.coefficientMatrix.toArray())
         values = m[0] if mode == "first_class" else m.mean(axis=0)
-    elif hasattr(learner, "featureImportances"):
-        values = learner.featureImportances.toArray()
     else:
-        values = sum(m.featureImportances.toArray() for m in learner.models) / len(learner.models)
+        values = learner.featureImportances.toArray()
     total = float(values.sum()) or 1.0
     rows = [(f, float(v), float(v) / total * 100) for f, v in zip(model.features, values)]
     frame = SparkSession.active().createDataFrame(rows, "feature string, importance double, importance_pct double")
