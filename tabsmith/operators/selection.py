@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.stat import Correlation
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.functions.expr import as_double, chunks, col, finite, is_numeric, nan_to_null
 from tabsmith.functions.fdist import f_upper_tail
+from tabsmith.operators.correlation import pair_correlations
 from tabsmith.operators.preprocess import StateModel, _pop
 from tabsmith.operators.stats import COLUMNS_PER_PASS, moments
 
@@ -114,25 +113,20 @@ class FeatureSelector(Estimator, DefaultParamsReadable, DefaultParamsWritable):
         return kept
 
     def _by_correlation(self, df: DataFrame, names: list[str], found: dict, removed: list[dict]) -> list[str]:
-        """Greedy in column order; K x K numbers on the driver, one JVM pass over the rows."""
+        """Greedy in column order, over the pairs above the threshold; the others stay on the executors."""
         limit = self.getOrDefault(self.correlationThreshold)
         if len(names) < 2:
             return names
-        filled = df.select(*[zero_filled(n).alias(f"c{i}") for i, n in enumerate(names)])
-        vectors = VectorAssembler(inputCols=filled.columns, outputCol="v").transform(filled).select("v")
-        matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+        pairs = pair_correlations(df, [zero_filled(n) for n in names], [found[n]["mean"] or 0.0 for n in names], True)
+        strong = pairs.where(F.abs("r") > limit).orderBy("i", "j").collect()
         gone: set[int] = set()
-        for i in range(len(names)):
-            for j in range(i + 1, len(names)):
-                if i in gone:
-                    break
-                r = abs(float(matrix[i, j]))
-                if j in gone or not r > limit:
-                    continue
-                lose, keep = (i, j) if (found[names[i]]["var"] or 0) <= (found[names[j]]["var"] or 0) else (j, i)
-                gone.add(lose)
-                removed.append({"feature": names[lose], "rule_id": "RULE_FS_HIGH_CORRELATION_PRUNE", "statistic": r,
-                                "kept_feature": names[keep], "threshold": limit, "action": "remove_redundant_feature"})
+        for i, j, r in strong:
+            if i in gone or j in gone:
+                continue
+            lose, keep = (i, j) if (found[names[i]]["var"] or 0) <= (found[names[j]]["var"] or 0) else (j, i)
+            gone.add(lose)
+            removed.append({"feature": names[lose], "rule_id": "RULE_FS_HIGH_CORRELATION_PRUNE", "statistic": abs(r),
+                            "kept_feature": names[keep], "threshold": limit, "action": "remove_redundant_feature"})
         return [n for i, n in enumerate(names) if i not in gone]
 
     def _by_relevance(self, names: list[str], scores: dict, limit: float, removed: list[dict]) -> list[str]:

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.functions.fdist import f_upper_tail
+from tabsmith.operators import correlation
 from tabsmith.operators.ratios import RatioFeatures
 from tabsmith.operators.selection import FeatureSelector, anova_f
 
@@ -61,6 +63,25 @@ def test_selector_stages(spark):
     assert m.relevance(spark).orderBy("rank").first()["feature"] == "informative"
 
 
+def test_pruning_order_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "TILE", 16)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(120, 12))
+    x = np.column_stack([base[:, n % 12] * (1 + n % 5) + 0.25 * rng.normal(size=120) * (n % 4) for n in range(60)])
+    names = [f"f{n}" for n in range(60)]
+    model = FeatureSelector().fit(spark.createDataFrame([tuple(map(float, r)) for r in x], names).repartition(5))
+    r, var, gone = np.abs(np.corrcoef(x.T)), x.var(0), []
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if i in gone:
+                break
+            if j not in gone and r[i, j] > 0.95:
+                gone.append(i if var[i] <= var[j] else j)
+    assert len(gone) > 20 and model.selected == [f for n, f in enumerate(names) if n not in gone]
+    removed = [y["feature"] for y in model.fitted["removed"] if y["rule_id"] == "RULE_FS_HIGH_CORRELATION_PRUNE"]
+    assert removed == [names[n] for n in gone]
+
+
 def test_selector_keeps_at_least_one(spark):
     df = spark.range(200).selectExpr("rand(1) as a", "rand(2) as b", "cast(rand(5) > 0.5 as int) as y")
     assert len(FeatureSelector(targetCol="y", pValueThreshold=1e-9).fit(df).selected) == 1

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 
 from tabsmith.operators import correlation, eda
@@ -100,18 +102,35 @@ def test_histogram_of_constant_and_outlier_sample(spark):
     assert box["outliers_sample"] == [900.0 + i for i in range(10)]
 
 
+def _pairs(df):
+    return [tuple(r) for r in correlation.correlations(df, table_stats(df)).orderBy("position_1", "position_2").collect()]
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_correlations_in_tiles(spark, monkeypatch, holes):
+    monkeypatch.setattr(correlation, "TILE", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 20)) @ rng.normal(size=(20, 20)) + 1e6
+    if holes:
+        x[rng.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(float(v) for v in row) for row in x], [f"c{n}" for n in range(20)]).repartition(6)
+    want = pd.DataFrame(x).corr().to_numpy()
+    got = _pairs(df)
+    assert len(got) == 190 and all(r == pytest.approx(want[i, j], abs=1e-9) for i, _, j, _, r in got)
+
+
 def test_correlations_with_and_without_missing_values(spark):
     df = spark.range(400).selectExpr(
         "if(id % 5 = 0, null, id * 1.0) as a", "if(id % 7 = 0, null, cast(id * id % 31 as double)) as b",
         "cast(id % 11 as double) as c", "cast(id % 2 as double) + id / 500 as e").repartition(5)
     want = df.toPandas().astype(float).corr()
-    got = correlation.correlations(df, table_stats(df))
+    got = _pairs(df)
     assert len(got) == 6 and all(r == pytest.approx(want.loc[x, y], abs=1e-10) for _, x, _, y, r in got)
     full = df.select("c", "e")
-    assert correlation.correlations(full, table_stats(full))[0][4] == pytest.approx(want.loc["c", "e"], abs=1e-10)
+    assert _pairs(full)[0][4] == pytest.approx(want.loc["c", "e"], abs=1e-10)
     # An infinite value leaves a pair without correlation, whatever the number of columns.
     infinite = full.unionByName(spark.sql("select double('infinity') as c, 1.0D as e"))
-    assert correlation.correlations(infinite, table_stats(infinite))[0][4] is None
+    assert _pairs(infinite)[0][4] is None
     # A pair whose complete rows are constant has no correlation and raises nothing.
     gap = spark.createDataFrame([(1.0, 5.0), (1.0, 6.0), (2.0, None)], "x double, y double")
-    assert correlation.correlations(gap, table_stats(gap))[0][4] is None
+    assert _pairs(gap)[0][4] is None
