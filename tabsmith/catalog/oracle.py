@@ -297,12 +297,13 @@ miss AS (SELECT *, row_number() OVER (ORDER BY missing DESC, position) AS rn, {r
 outl AS (SELECT *, row_number() OVER (ORDER BY outliers DESC, position) AS rn, {r(SHARE_OUT, 2)} AS p FROM st WHERE outliers > 0),
 strong AS (SELECT *, row_number() OVER (ORDER BY abs(correlation) DESC, p1, p2) AS rn FROM prs WHERE abs(correlation) >= 0.7),
 finds AS (
-SELECT 0 AS section, 0 AS ord, 'Missingness' AS category, CASE WHEN m = 0 THEN 'info' WHEN {r('p', 2)} > 15 THEN 'high' ELSE 'medium' END AS severity FROM total
-UNION ALL SELECT 1, rn, 'Missingness', CASE WHEN p > 50 THEN 'high' WHEN p > 10 THEN 'medium' ELSE 'low' END FROM miss WHERE rn <= 5
-UNION ALL SELECT 2, position, 'Distribution / Skewness', 'medium' FROM st WHERE is_num AND nn > 0 AND abs({r('skew', 4)}) > 1
-UNION ALL SELECT 3, rn, 'Outliers', CASE WHEN p > 5 THEN 'medium' ELSE 'low' END FROM outl WHERE rn <= 5 AND p > 2
-UNION ALL SELECT 4, rn, 'Correlation', CASE WHEN abs(correlation) < 0.9 THEN 'info' ELSE 'medium' END FROM strong WHERE rn <= 5
-UNION ALL SELECT 5, position, 'Cardinality', 'info' FROM st WHERE {HIGH})
+SELECT 0 AS section, 0 AS ord, 'Missingness' AS category, CASE WHEN m = 0 THEN 'info' WHEN {r('p', 2)} > 15 THEN 'high' ELSE 'medium' END AS severity,
+ m || ' missing values in the table (' || {r('p', 2)} || '%)' AS message FROM total
+UNION ALL SELECT 1, rn, 'Missingness', CASE WHEN p > 50 THEN 'high' WHEN p > 10 THEN 'medium' ELSE 'low' END, '''' || column_name || ''' misses ' || p || '% of its values' FROM miss WHERE rn <= 5
+UNION ALL SELECT 2, position, 'Distribution / Skewness', 'medium', '''' || column_name || ''' is skewed to the ' || CASE WHEN skew > 0 THEN 'right' ELSE 'left' END || ' (skewness ' || {r('skew', 4)} || ')' FROM st WHERE is_num AND nn > 0 AND abs({r('skew', 4)}) > 1
+UNION ALL SELECT 3, rn, 'Outliers', CASE WHEN p > 5 THEN 'medium' ELSE 'low' END, '''' || column_name || ''' has ' || outliers || ' outliers (' || p || '% of rows)' FROM outl WHERE rn <= 5 AND p > 2
+UNION ALL SELECT 4, rn, 'Correlation', CASE WHEN abs(correlation) < 0.9 THEN 'info' ELSE 'medium' END, '''' || column_1 || ''' and ''' || column_2 || ''' move together (r = ' || correlation || ')' FROM strong WHERE rn <= 5
+UNION ALL SELECT 5, position, 'Cardinality', 'info', '''' || column_name || ''' has ' || uniq || ' different values' FROM st WHERE {HIGH})
 """
 
 
@@ -375,7 +376,7 @@ FROM prs WHERE abs(correlation) >= 0.7"""
     q["outlier_table"] = EV + f"""SELECT CAST(row_number() OVER (ORDER BY outliers DESC, position) AS INTEGER) AS rank, column_name, outliers AS outlier_count,
  {r(SHARE_OUT, 2)} AS outlier_percentage, {r('q1 - 1.5 * (q3 - q1)', 4)} AS lower_bound, {r('q3 + 1.5 * (q3 - q1)', 4)} AS upper_bound,
  {r('mn', 4)} AS min, {r('mx', 4)} AS max, {r('q1', 4)} AS q1, {r('med', 4)} AS median, {r('q3', 4)} AS q3, {r('q3 - q1', 4)} AS iqr FROM st WHERE is_num AND outliers > 0"""
-    q["findings"] = findings_rows() + "SELECT CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, category, severity FROM finds"
+    q["findings"] = findings_rows() + "SELECT CAST(section AS INTEGER) AS section, CAST(ord AS BIGINT) AS ord, category, severity, message FROM finds"
     q["severity_counts"] = findings_rows() + "SELECT severity, count(*) AS findings FROM finds GROUP BY severity"
     q["top_findings"] = findings_rows() + """SELECT CAST(section AS INTEGER) AS section, category, severity FROM finds
  ORDER BY CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, section, ord LIMIT 5"""
@@ -390,11 +391,13 @@ FROM prs WHERE abs(correlation) >= 0.7"""
     )
     q["leak_purity"] = f"WITH {FLAGGED} " + purity_sql(["returnflag", "band", "discount", "tax"])
     q["leakage"] = f"""WITH {FLAGGED}, pure AS ({purity_sql(["quantity", "discount", "tax", "returnflag", "band", "actual_status"])}),
-cor AS ({union([f"SELECT '{c}' AS column_name, abs(corr({c}, flag)) AS r FROM flagged" for c in ("quantity", "discount", "rebate", "tax")])})
-SELECT column_name, 'high_correlation' AS type, 'high' AS severity FROM cor WHERE r >= 0.9
-UNION ALL SELECT column_name, 'categorical_proxy', 'high' FROM pure LEFT JOIN cor USING (column_name)
+cor AS ({union([f"SELECT '{c}' AS column_name, abs(corr({c}, flag)) AS r FROM flagged" for c in ("quantity", "discount", "rebate", "tax")])}),
+found AS (SELECT column_name, 'high_correlation' AS type, 'high' AS severity, r AS statistic, printf('Its correlation with the target is %.4f.', r) AS reason FROM cor WHERE r >= 0.9
+UNION ALL SELECT column_name, 'categorical_proxy', 'high', purity, printf('Within its values, %.2f %% of the rows share one class on average.', 100 * purity) FROM pure LEFT JOIN cor USING (column_name)
  WHERE coalesce(r, 0) < 0.9 AND purity >= 0.98 AND categories BETWEEN 2 AND 20
-UNION ALL SELECT column_name, 'post_event_semantic', 'medium' FROM pure WHERE column_name = 'actual_status' AND NOT (purity >= 0.98 AND categories BETWEEN 2 AND 20)"""
+UNION ALL SELECT column_name, 'post_event_semantic', 'medium', NULL, 'Its name points to something that is recorded after the event.' FROM pure WHERE column_name = 'actual_status' AND NOT (purity >= 0.98 AND categories BETWEEN 2 AND 20))
+SELECT column_name, type, severity, {r('statistic', 6)} AS statistic, reason,
+ CASE severity WHEN 'high' THEN 'Leave it out of the predictors after a look at it; profiling keeps it.' ELSE 'Look at it before it becomes a predictor.' END AS recommendation FROM found"""
     q["plan_status"] = PLAN + "SELECT column_name, status, status LIKE 'usable%' AS is_usable, missing AS missing_count FROM plan"
     q["plan_imputation"] = stage("imputation")
     q["plan_scaling"] = stage("scaling")

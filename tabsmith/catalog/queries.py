@@ -188,7 +188,7 @@ def _findings(spark, d):
 
 
 def findings(spark, d):
-    return _findings(spark, d).select("section", "ord", "category", "severity")
+    return _findings(spark, d).select("section", "ord", "category", "severity", "message")
 
 
 def severity_counts(spark, d):
@@ -228,7 +228,7 @@ def leak_purity(spark, d):
 
 def leakage(spark, d):
     found = autoconfig.detect_leakage(flagged_lineitem(spark, d), "flag")
-    return found.select("column_name", "type", "severity")
+    return found.select("column_name", "type", "severity", F.round("statistic", 6).alias("statistic"), "reason", "recommendation")
 
 
 def auto_config(spark, d):

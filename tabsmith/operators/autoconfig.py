@@ -27,7 +27,8 @@ LEAK_MIN_STD = 1e-7
 SHORTLIST = 60
 
 CANDIDATE_DDL = "position int, column_name string, score double, unique_count bigint, min_class_share double, reason string"
-LEAK_DDL = "position int, column_name string, type string, severity string, statistic double"
+LEAK_DDL = "position int, column_name string, type string, severity string, statistic double, reason string, recommendation string"
+ADVICE = {"high": "Leave it out of the predictors after a look at it; profiling keeps it.", "medium": "Look at it before it becomes a predictor."}
 
 
 def _approx_distinct(df: DataFrame, wanted: list[str]) -> dict[str, int]:
@@ -194,6 +195,18 @@ def purity(df: DataFrame, features: list[str], target: str) -> DataFrame:
     )
 
 
+def leak_reason(kind: str, name: str, value: float | None) -> str:
+    """Why a column is listed, with the statistic that shows it."""
+    if kind == "domain_knowledge":
+        return names.LEAKAGE_NAMES[names.normal(name)]
+    return {
+        "all_missing": "No row has a value.",
+        "high_correlation": f"Its correlation with the target is {value or 0:.4f}.",
+        "categorical_proxy": f"Within its values, {100 * (value or 0):.2f} % of the rows share one class on average.",
+        "post_event_semantic": "Its name points to something that is recorded after the event.",
+    }[kind]
+
+
 def detect_leakage(
     df: DataFrame, target: str | None = None, stats: TableStats | None = None
 ) -> DataFrame:
@@ -207,7 +220,7 @@ def detect_leakage(
     found: dict[str, tuple] = {}
 
     def add(s, kind: str, severity: str, value: float | None = None) -> None:
-        found[s.column_name] = (s.position, s.column_name, kind, severity, value)
+        found[s.column_name] = (s.position, s.column_name, kind, severity, value, leak_reason(kind, s.column_name, value), ADVICE[severity])
 
     others = [s for s in stats.columns if s.column_name != target]
     for s in others:
@@ -253,9 +266,9 @@ def _exact_distinct(df: DataFrame, few: list[str]) -> dict[str, int]:
 
 
 def known_leakage(df: DataFrame) -> DataFrame:
-    """Columns whose name alone marks them as known only after the event."""
-    rows = [(i, c) for i, c in enumerate(df.columns) if names.normal(c) in names.LEAKAGE_NAMES]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string")
+    """Columns whose name alone marks them as known only after the event, with the reason and what to do."""
+    rows = [(i, c, leak_reason("domain_knowledge", c, None), ADVICE["high"]) for i, c in enumerate(df.columns) if names.normal(c) in names.LEAKAGE_NAMES]
+    return df.sparkSession.createDataFrame(rows, "position int, column_name string, reason string, recommendation string")
 
 
 def target_overview(df: DataFrame, target: str | None = None) -> tuple[DataFrame | None, TargetChoice | None]:

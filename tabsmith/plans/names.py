@@ -23,13 +23,13 @@ GEO_NAMES = [
     "latitude", "longitude", "street", "address", "market", "territory", "store", "department",
 ]
 
-# Columns known only after the event to predict.
-LEAKAGE_NAMES = [
-    "delivery status",
-    "days for shipping (real)",
-    "shipping date (dateorders)",
-    "days for shipment (scheduled)",
-]
+# Columns known only after the event to predict, and why (in our words).
+LEAKAGE_NAMES = {
+    "delivery status": "It states how the delivery went, which nobody knows before the shipment.",
+    "days for shipping (real)": "The days are counted when the order has arrived.",
+    "shipping date (dateorders)": "The shipment leaves after the moment of prediction.",
+    "days for shipment (scheduled)": "It may hang together with the real shipping days.",
+}
 
 # Name fragments of columns recorded after the outcome.
 POST_EVENT_FRAGMENTS = ["(real)", "actual", "post_", "outcome", "after_event"]

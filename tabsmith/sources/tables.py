@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.functions.expr import FLOATING, chunks, col, is_numeric
+from tabsmith.functions.jobs import checkpointed
+from tabsmith.sources.quoted_csv import read_quoted_csv
 
 # Field texts that mean "missing" in a CSV file.
 MISSING_TOKENS = [
@@ -21,12 +23,16 @@ BOOLEAN_WORDS = ["true", "True", "TRUE", "false", "False", "FALSE"]
 
 # Texts of a number column; a trailing type letter is no number.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+FILE = "_file"
+# Files of another encoding than UTF-8 that all tasks are told of; beyond, rows and files meet by a shuffle.
+MANY_FILES = 10_000
 # Bytes of any file survive this encoding, so the real one can be judged afterwards.
 BYTES = "ISO-8859-1"
 
 
 def _read_text(spark: SparkSession, path: str | list[str], lines: bool) -> DataFrame:
-    return (
+    """All fields as text, byte by byte, and the file of each row in the column `FILE`."""
+    plain = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("encoding", BYTES)
@@ -35,6 +41,10 @@ def _read_text(spark: SparkSession, path: str | list[str], lines: bool) -> DataF
         .option("multiLine", lines)
         .csv(path)
     )
+    if lines:
+        # The plain reader only tells the names: it would read every such file in one task.
+        return read_quoted_csv(spark, path, plain.columns, BYTES)
+    return plain.select(F.col("_metadata.file_path").alias(FILE), *[col(c) for c in plain.columns])
 
 
 def _has_open_quotes(spark: SparkSession, path: str | list[str]) -> bool:
@@ -48,12 +58,12 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None
 
     A file of which every field is valid UTF-8 is UTF-8, any other is ISO-8859-1. Quotes inside quoted
     fields are doubled. Fields may hold line breaks: unless ``multi_line`` says so or not, the
-    quotes of the lines tell, and only then a file is read by one task as a whole. Types are found in one
+    quotes of the lines tell, and only then records are cut by the parity of quotes, split by split. Types are found in one
     aggregate over the text columns: bigint, double, boolean, else text; whole numbers beyond bigint stay text.
     """
     lines = _has_open_quotes(spark, path) if multi_line is None else multi_line
     text = _read_text(spark, path, lines)
-    validate_table(text)
+    validate_table(text.drop(FILE))
     text = _decoded(text)
     tokens = [t for t in MISSING_TOKENS if t]
     cleaned = text.select(
@@ -66,11 +76,15 @@ def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None
 
 def _decoded(text: DataFrame) -> DataFrame:
     """Fields read byte by byte as the text of their file's encoding."""
-    names = text.columns
+    names = [c for c in text.columns if c != FILE]
     valid = reduce(lambda a, b: a & b, [F.coalesce(F.is_valid_utf8(F.encode(col(c), BYTES)), F.lit(True)) for c in names])
-    file = F.col("_metadata.file_path")
-    other = [r[0] for r in text.select(file.alias("file"), valid.alias("valid")).filter(~F.col("valid")).select("file").distinct().collect()]
-    plain = file.isin(other) if other else F.lit(False)
+    other = checkpointed(text.groupBy(FILE).agg(F.bool_and(valid).alias("valid")).where(~F.col("valid")).select(FILE))
+    many = other.count()
+    plain = F.lit(False)
+    if many:
+        files = other.withColumn("_plain", F.lit(True))
+        text = text.join(F.broadcast(files) if many <= MANY_FILES else files, FILE, "left")
+        plain = F.coalesce("_plain", F.lit(False))
     try:
         shown = [c.encode(BYTES).decode("utf-8") for c in names]
     except UnicodeError:
