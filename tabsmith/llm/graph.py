@@ -1,8 +1,9 @@
-"""Connected components of a link table, in Spark."""
+"""Connected components of a link table, and samples by hash, in Spark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import stored
@@ -34,3 +35,22 @@ def components(links: DataFrame) -> DataFrame:
         if after.where(F.col("was") != F.col("label")).isEmpty():
             break
     return labels
+
+
+def first_by_hash(rows: DataFrame, group: str, quota: int) -> DataFrame:
+    """(id, group) of the `quota` different ids of each group whose hashes are smallest (ties: the smaller id).
+
+    A threshold from the group's count leaves little more than the quota; only those rows are sorted. Where it left too few, it is widened.
+    """
+    hashed = rows.select("id", group).distinct().withColumn("hash", F.xxhash64("id"))
+    counts = stored(hashed.groupBy(group).agg(F.count("*").alias("total")))
+    wanted, groups = quota + 8 * quota**0.5 + 8, counts.count()
+    while True:
+        limit = F.when(F.col("total") <= wanted, F.lit((1 << 63) - 1)).otherwise((wanted / F.col("total") * 2.0**64 - 2.0**63).cast("long"))
+        near = stored(hashed.join(sent(counts.select(group, "total", limit.alias("limit")), groups), group).where("hash <= limit"))
+        short = near.groupBy(group).agg(F.count("*").alias("n"), F.first("total").alias("total"))
+        if short.where(F.col("n") < F.least("total", F.lit(quota))).isEmpty() and short.count() == groups:
+            break
+        wanted *= 4
+    place = F.row_number().over(W.partitionBy(group).orderBy("hash", "id"))
+    return near.withColumn("n", place).where(F.col("n") <= quota).select("id", group)

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith.llm.common import crc_mod, in_batches, raw, slices, stored
+from tabsmith.llm.graph import first_by_hash
 
 #: Lengths of the n-grams, and bits of their hash.
 GRAMS = (3, 5, 7)
@@ -116,9 +116,9 @@ def train(
     feature counts, and the score is the only class's (0.5 without any).
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
-    ids = known.withColumn("n", F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= sample_texts)
     # At most two times sample_texts ids.
-    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.select("id", "label")), "id").select("label", "text").dropDuplicates())
+    ids = first_by_hash(known, "label", sample_texts)
+    sample = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").select("label", "text").dropDuplicates())
 
     def counts(batches):
         total = np.zeros((2, 1 << BITS), np.int64)

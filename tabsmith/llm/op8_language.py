@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import CARRIED, crc_mod, flat, in_batches, packed, slices, unpacked
+from tabsmith.llm.common import CARRIED, crc_mod, flat, in_batches, packed, slices, stored, unpacked
+from tabsmith.llm.graph import first_by_hash, sent
 
 #: Training documents of each language at most, in the order of a hash of their ids.
 SAMPLE_DOCUMENTS = 400
@@ -148,9 +148,9 @@ def train(
     Rows with a NULL id, text or language teach nothing. What reaches the driver are counts of four-byte strings.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null")
-    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("n") <= sample_documents)
     # At most sample_documents ids of each language.
-    sample = rows.join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"], "left_semi").select("lang", "text")
+    ids = stored(first_by_hash(rows, "lang", sample_documents))
+    sample = rows.join(sent(ids, ids.count()), ["id", "lang"], "left_semi").select("lang", "text")
 
     def grams(batches):
         for batch in slices(batches, "text"):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.llm import op11_tree_dedup, op12_whitening, op13_variants, queries
+from tabsmith.llm.graph import first_by_hash
 from tests.conftest import DATA
 from tests.llm.helpers import docs, words
 
@@ -196,3 +197,14 @@ def test_blocks_lose_no_word(side):
         assert sorted(got) == near
         total += len(near)
     assert total > 100
+
+
+def test_first_by_hash_is_the_sorted_start(spark):
+    rows = spark.range(30_000).selectExpr("id", "if(id % 3 < 2, 'hot', concat('g', id % 7)) as lang")
+    rows = rows.union(rows.where("id % 2 = 0")).union(spark.range(50_000).selectExpr("7L", "'hot'"))
+    got = {tuple(r) for r in first_by_hash(rows, "lang", 40).collect()}
+    by = defaultdict(set)
+    for r in rows.distinct().selectExpr("id", "lang", "xxhash64(id) as h").collect():
+        by[r.lang].add((r.h, r.id))
+    assert got == {(i, g) for g, found in by.items() for _, i in sorted(found)[:40]}
+    assert first_by_hash(rows.limit(0), "lang", 40).count() == 0
