@@ -241,6 +241,16 @@ def compare_categories() -> str:
     return COMPARE + union(out)
 
 
+def compare_long_text() -> str:
+    out = []
+    for c in ("text", "lang", "source"):
+        out.append(f"""SELECT '{c}' AS column_name, CAST(rn AS INTEGER) AS rank, v AS category, before_count, coalesce(after_count, 0) AS after_count FROM
+ (SELECT coalesce({c}, '(Missing)') AS v, count(*) AS before_count, row_number() OVER (ORDER BY count(*) DESC, coalesce({c}, '(Missing)')) AS rn FROM documents GROUP BY 1)
+ LEFT JOIN (SELECT coalesce({c}, (SELECT {c} FROM documents WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)) AS v, count(*) AS after_count
+  FROM documents GROUP BY 1) USING (v) WHERE rn <= 8""")
+    return union(out)
+
+
 def ratio(num: str, den: str) -> str:
     return f"CASE WHEN {den} IS NULL OR {den} = 0 THEN 0.0 ELSE {num} / {den} END"
 
@@ -449,6 +459,11 @@ WINDOW w AS (ORDER BY side DESC)"""
     ) + " FROM bf b JOIN af a USING (column_name)"
     q["compare_hist"] = compare_hist()
     q["compare_categories"] = compare_categories()
+    q["compare_long_text"] = compare_long_text()
+    q["impute_mode_long_text"] = """WITH src AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text END AS text FROM documents),
+ mode AS (SELECT text FROM src WHERE text IS NOT NULL GROUP BY text ORDER BY count(*) DESC, text LIMIT 1),
+ filled AS (SELECT doc_id, coalesce(text, (SELECT text FROM mode)) AS text FROM src)
+SELECT sha256(text) AS digest, count(*) AS cnt, max(doc_id) AS last_id FROM filled GROUP BY text"""
     q["ratio_validate"] = f"""WITH {DIRTY}, rt AS (SELECT *, {ratio('price', 'quantity')} AS unit_price, {ratio('tax', 'discount')} AS tax_share, {ratio('discount', 'price')} AS flat FROM dirty),
 m AS (SELECT 'unit_price' AS name, var_pop(unit_price) AS v, greatest(abs(corr(price, unit_price)), abs(corr(quantity, unit_price))) AS c FROM rt
 UNION ALL SELECT 'tax_share', var_pop(tax_share), greatest(abs(corr(tax, tax_share)), abs(corr(discount, tax_share))) FROM rt

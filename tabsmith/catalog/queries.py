@@ -361,7 +361,12 @@ def fit_metadata(spark, d):
 
 def _comparison(spark, d):
     raw = doubled_lineitem(spark, d)
-    return Comparison(raw, HybridPreprocessor().fit(raw).transform_cleaned(raw))
+    return _compared(raw)
+
+
+def _compared(raw):
+    model = HybridPreprocessor().fit(raw)
+    return Comparison(raw, model.transform_cleaned(raw), cleaned=model.cleaned_columns(raw))
 
 
 def compare_overall(spark, d):
@@ -382,6 +387,18 @@ def compare_categories(spark, d):
     return _comparison(spark, d).categories()
 
 
+def compare_long_text(spark, d):
+    """Whole texts as categories: copies and texts that occur once, before and after filling."""
+    return _compared(table(spark, d, "documents").select("text", "lang", "source")).categories()
+
+
+def impute_mode_long_text(spark, d):
+    """English texts; where a document holds none, the most frequent one is filled in."""
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("text"))
+    cleaned = HybridPreprocessor(inputCols=["text"]).fit(docs.select("text")).transform_cleaned(docs)
+    return cleaned.groupBy("text").agg(F.count(F.lit(1)).alias("cnt"), F.max("doc_id").alias("last_id")).select(F.sha2("text", 256).alias("digest"), "cnt", "last_id")
+
+
 # ---- ratio features and selection --------------------------------------------------
 
 RATIO_SPECS = [
@@ -577,7 +594,7 @@ def queries() -> dict[str, Query]:
         target_scores, leak_correlation, leak_contingency, leak_purity, leakage, auto_config,
         plan_status, plan_imputation, plan_scaling, plan_log1p, plan_encoding, plan_count, plan_trace,
         cleaned_table, impute_numeric, impute_mode, log1p_scale_robust, scale_standard, one_hot, one_hot_hard_names, ordinal, plain_ordinal,
-        one_hot_capped, fit_metadata, compare_overall, compare_numeric, compare_hist, compare_categories,
+        one_hot_capped, fit_metadata, compare_overall, compare_numeric, compare_hist, compare_categories, compare_long_text, impute_mode_long_text,
         ratio_validate, ratio_apply, select_features, select_relevance, anova, split_class_counts, split_many_classes, split_plain,
         confusion, class_report, binary_metrics, roc_auc_ovr,
         train_logistic_regression, train_decision_tree, train_random_forest, train_gradient_boosting, benchmark_abc,

@@ -26,7 +26,7 @@ class Prepared:
     @property
     def comparison(self) -> Comparison:
         """Before/after statistics; computed when asked for."""
-        return Comparison(self.raw, self.cleaned, self.model.fitted["status"])
+        return Comparison(self.raw, self.cleaned, self.model.fitted["status"], self.model.cleaned_columns(self.raw))
 
 
 def prepare_dataset(

@@ -371,21 +371,24 @@ class HybridPreprocessorModel(DictionaryModel):
 
         Numeric columns come out as double, text columns as string.
         """
+        return df.select(*[e.alias(c) for c, e in self.cleaned_columns(df).items()])
+
+    def cleaned_columns(self, df: DataFrame) -> dict[str, Column]:
+        """The columns of ``transform_cleaned`` as expressions over the raw ones."""
         s = self.fitted
         numeric, text = self._inputs(df)
         fills = {f["name"]: f["fill"] for f in s["numeric"]}
         types = {f.name: f.dataType for f in df.schema.fields}
-        out = []
+        out = {}
         for c in df.columns:
             if c in fills:
-                out.append(F.coalesce(numeric[c], F.lit(fills[c])).alias(c))
+                out[c] = F.coalesce(numeric[c], F.lit(fills[c]))
             elif c in text:
-                out.append(text[c].alias(c))
+                out[c] = text[c]
             elif c not in set(s["inputs"]):
-                out.append(col(c))
+                out[c] = col(c)
         absent = [c for c in [*fills, *text] if c not in types]
-        out += [(F.lit(fills[c]) if c in fills else text[c]).alias(c) for c in absent]
-        return df.select(*out)
+        return out | {c: F.lit(fills[c]) if c in fills else text[c] for c in absent}
 
     def metadata(self, spark) -> DataFrame:
         """One row per usable column: what was fitted for it."""

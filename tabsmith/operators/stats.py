@@ -171,6 +171,18 @@ def table_stats(
     return table
 
 
+def add_quartiles(df: DataFrame, table: TableStats) -> None:
+    """Quartiles and outlier counts, for statistics that were measured without them."""
+    df = nan_to_null(df)
+    _quartiles(df, table)
+    _fences(df, table)
+
+
+def add_values(df: DataFrame, table: TableStats, names: list[str]) -> None:
+    """Distinct counts and most frequent values of some columns, for statistics that were measured without them."""
+    together(*_value_jobs(nan_to_null(df), [table[n] for n in names]))
+
+
 def long_doubles(df: DataFrame, exprs: list[Column]) -> DataFrame:
     """(column_id, value) pairs of double expressions, one Expand and no shuffle.
 
@@ -313,7 +325,7 @@ def _plain_values(df: DataFrame, part: list[ColumnStats], types: dict, carrier:
             s.top_value = row["top"]
 
 
-def _digest(text: Column) -> Column:
+def digest(text: Column) -> Column:
     """What stands for a long text wherever texts are counted or looked up."""
     return F.unhex(F.sha2(text, 256))
 
@@ -322,7 +334,7 @@ def _digest_values(df: DataFrame, part: list[ColumnStats], types: dict) -> None:
     """Long text: shuffle 256-bit digests, then look up the text of the winners."""
     spark = df.sparkSession
     text = {i: as_text(s.column_name, types[s.column_name]) for i, s in enumerate(part)}
-    counts = value_counts(df, {i: _digest(t) for i, t in text.items()}, "digest")
+    counts = value_counts(df, {i: digest(t) for i, t in text.items()}, "digest")
     # How many values occur how often: gives the peak and the number of values that tie.
     spread = counts.groupBy("column_id", "cnt").agg(F.count(F.lit(1)).alias("values"))
     peak = spread.groupBy("column_id").agg(
@@ -349,7 +361,7 @@ def _digest_values(df: DataFrame, part: list[ColumnStats], types: dict) -> None:
         wide = df.select(*[t.alias(f"c{i}") for i, t in repeated.items()])
         long = (
             wide.unpivot([], [f"c{i}" for i in repeated], "column_id", "value")
-            .withColumn("digest", _digest(F.col("value")))
+            .withColumn("digest", digest(F.col("value")))
             .join(winners, ["column_id", "digest"], "left_semi")
         )
         for r in long.groupBy("column_id").agg(F.min("value").alias("value")).collect():

@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from tabsmith.functions import joins
 from tabsmith.operators.compare import Comparison
@@ -138,3 +139,26 @@ def test_comparison(spark):
     assert sum(r["before_count"] for r in c.histograms().collect()) == 5 and sum(r["after_count"] for r in c.histograms().collect()) == 6
     cats = {r["category"]: (r["before_count"], r["after_count"]) for r in c.categories().collect()}
     assert cats == {"b": (3, 4), "a": (2, 2), "(Missing)": (1, 0)}
+
+
+def test_comparison_in_the_same_passes(spark):
+    long = ["p" * 70 + c for c in "badc"]
+    rows = [(10.0, "7", long[0], 1), (None, "x", long[1], 2), (1000.0, None, long[1], None), (11.0, "9", None, 4), (float("nan"), "7", long[2], 5), (12.0, "8", long[3], 6)]
+    raw = spark.createDataFrame(rows, "n double, `t.x` string, c string, gone int")
+    model = HybridPreprocessor(inputCols=["n", "c"]).fit(raw.select("n", "c"))
+    # A text column that becomes a number, and one that is dropped.
+    exprs = model.cleaned_columns(raw) | {"t.x": F.coalesce(F.col("`t.x`").try_cast("double"), F.lit(0.0))}
+    del exprs["gone"]
+    clean = raw.select(*[e.alias(c) for c, e in exprs.items()])
+    two, one = Comparison(raw, clean), Comparison(raw, clean, cleaned=exprs)
+    assert len(two.frames) == 2 and len(one.frames) == 1
+    reports = ("overall", "numeric_columns", "histograms", "category_columns", "categories")
+    for report in reports:
+        a, b = (sorted(getattr(c, report)().collect(), key=str) for c in (two, one))
+        assert a == b and a, report
+    before, after = sorted(one.overall().collect(), key=lambda r: r["side"], reverse=True)
+    assert (before["missing_values"], after["missing_values"], before["num_columns"], after["num_columns"]) == (5, 0, 4, 3)
+    cats = [tuple(r)[2:] for r in sorted(one.categories().collect(), key=lambda r: r["rank"])]
+    # Equal counts: the smaller text first, though all share their first characters but one.
+    assert cats == [(long[1], 2, 3), ("(Missing)", 1, 0), (long[0], 1, 1), (long[3], 1, 1), (long[2], 1, 1)]
+    assert [r["category"] for r in one.categories(top=3).orderBy("rank").collect()] == [long[1], "(Missing)", long[0]]
