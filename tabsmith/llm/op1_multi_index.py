@@ -2,7 +2,8 @@
 
 The two halves of the vectors are quantised apart; a cell is a pair of centroids. A query walks the cells by the sum of
 its two halves' inner products, best first, with a heap over the sorted centroids of either half, until the cells hold
-enough vectors; these are ranked by their exact inner products.
+enough vectors; these are ranked by their exact inner products. The vectors are first turned to the principal axes of a sample,
+dealt out to both halves in turn: that keeps all inner products, and either half carries as much of the variance.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from tabsmith.llm.common import in_batches, ship, stored
 
 #: Vectors that the codebooks are fitted on at most, and queries that the number of visited vectors is fitted on.
 SAMPLE_VECTORS, SAMPLE_QUERIES = 8192, 256
-#: Share of the true neighbours of those queries that must lie in the visited cells.
-RECALL = 0.97
+#: Share of the true neighbours of those queries, among all vectors, that must lie in the visited cells.
+RECALL = 0.94
+#: Centroids of a half at most.
+MOST_CENTROIDS = 256
 #: Vectors and queries that meet in one group.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 LEAST_VISITED = 400
@@ -29,21 +32,27 @@ LEAST_VISITED = 400
 
 @dataclass
 class MultiIndex:
-    """Centroids of both halves (k x half), and the share of all vectors that a query visits."""
+    """Centroids of both halves (k x half), the share of all vectors that a query visits, and the axes (dim x dim, none: as they are)."""
 
     first: np.ndarray
     second: np.ndarray
-    share: float
+    share: float = 1.0
+    axes: np.ndarray | None = None
 
     @property
     def half(self) -> int:
         return self.first.shape[1]
 
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        return x if self.axes is None else x @ self.axes
+
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = self.turned(x)
         return nearest(x[:, : self.half], self.first), nearest(x[:, self.half :], self.second)
 
     def walk(self, query: np.ndarray):
         """Pairs of centroids, the largest sum of inner products first."""
+        query = self.turned(query)
         a, b = self.first @ query[: self.half], self.second @ query[self.half :]
         rows, columns = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
         heap, seen = [(-(a[rows[0]] + b[columns[0]]), 0, 0)], {(0, 0)}
@@ -89,27 +98,36 @@ def codebook(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
-def fit(sample: np.ndarray, k: int, neighbours: int, recall: float = RECALL, queries: int = SAMPLE_QUERIES) -> MultiIndex:
-    """An index of k centroids a half from a bounded sample. The share of visited vectors is the smallest with which `recall`
-    of the sample's own true neighbours are found; among more vectors the neighbours are nearer, so it holds there too."""
+def principal_axes(x: np.ndarray) -> np.ndarray:
+    """The principal axes of the rows as columns, those of even rank before those of odd rank."""
+    _, axes = np.linalg.eigh(np.cov(x, rowvar=False, bias=True).reshape(x.shape[1], -1))
+    falling = axes[:, ::-1]
+    return np.ascontiguousarray(np.hstack([falling[:, 0::2][:, : x.shape[1] // 2], falling[:, 1::2], falling[:, 0::2][:, x.shape[1] // 2 :]]))
+
+
+def fit(sample: np.ndarray, k: int) -> MultiIndex:
+    """An index of at most k centroids a half, from a bounded sample."""
+    axes = principal_axes(sample)
+    turned = sample @ axes
     half = sample.shape[1] // 2
-    index = MultiIndex(codebook(sample[:, :half], k), codebook(sample[:, half:], k), 1.0)
-    i, j = index.cells(sample)
-    counts = np.zeros((len(index.first), len(index.second)), np.int64)
-    np.add.at(counts, (i, j), 1)
+    return MultiIndex(codebook(turned[:, :half], k), codebook(turned[:, half:], k), 1.0, axes)
+
+
+def share_needed(index: MultiIndex, counts: np.ndarray, queries: np.ndarray, neighbours: list[list[tuple[int, int]]], recall: float) -> float:
+    """The smallest share of all vectors that the visited cells must hold, so that `recall` of the queries' true neighbours (their cells) lie in them."""
     needed = []
-    for q in range(min(queries, len(sample))):
-        products = sample @ sample[q]
-        products[q] = -np.inf
-        best = np.argsort(-products)[: min(neighbours, len(sample) - 1)]
-        order = np.full(counts.shape, 0.0)
-        held = 0
-        for a, b in index.walk(sample[q]):
-            held += counts[a, b]
-            order[a, b] = held
-        needed.extend(order[i[best], j[best]] / len(sample))
-    index.share = float(np.quantile(needed, recall)) if needed else 1.0
-    return index
+    for query, cells in zip(queries, neighbours, strict=True):
+        left, held = set(cells), 0
+        at = {}
+        for cell in index.walk(query):
+            if not left:
+                break
+            held += counts[cell]
+            if cell in left:
+                left.remove(cell)
+                at[cell] = held
+        needed.extend(at[c] for c in cells)
+    return float(np.quantile(needed, recall, method="higher")) / counts.sum() if needed else 1.0
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -147,6 +165,71 @@ def best_of(queries: np.ndarray, query_ids: np.ndarray, open_: np.ndarray, vecto
     return owner, found, score
 
 
+def nearest_cells(indexed: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+    """The cells of the true k nearest among all vectors, for a few queries: k rows a query leave a task, k a query reach the driver."""
+    sent = indexed.sparkSession.sparkContext.broadcast((queries, ids))
+
+    def best(batches):
+        few, few_ids = sent.value
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            products = few @ _matrix(batch.column("v")).T
+            own = np.array(batch.column("id"))
+            products[few_ids[:, None] == own[None, :]] = -np.inf
+            cells = np.stack([np.array(batch.column("i")), np.array(batch.column("j"))], 1)
+            found = (products, np.broadcast_to(cells, (len(few), *cells.shape)))
+            if kept is not None:
+                found = tuple(np.concatenate(pair, 1) for pair in zip(kept, found, strict=True))
+            top = np.argsort(-found[0], axis=1, kind="stable")[:, :k]
+            kept = np.take_along_axis(found[0], top, 1), np.take_along_axis(found[1], top[:, :, None], 1)
+        if kept is not None:
+            q = np.repeat(np.arange(len(few), dtype=np.int32), kept[0].shape[1])
+            at = kept[1].reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(kept[0].ravel())], names=["q", "i", "j", "score"])
+
+    rows = in_batches(indexed, best, "q int, i int, j int, score double").where(F.col("score") > float("-inf"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "i", "j"))).where(F.col("rank") <= k)
+    out = [[] for _ in queries]
+    for r in rows.select("q", "i", "j").collect():
+        out[r["q"]].append((r["i"], r["j"]))
+    return out
+
+
+def build(rows: DataFrame, dim: int, total: int, k: int, recall: float) -> tuple[MultiIndex, DataFrame, np.ndarray]:
+    """The index, every row with its cell (id, v, i, j), and the number of rows in each cell."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
+    ids, sample = sample.column("id").to_numpy(), _matrix(sample.column("v"))
+    index = fit(sample, int(np.clip(round(total**0.5), 1, MOST_CENTROIDS)))
+    sent = rows.sparkSession.sparkContext.broadcast(index)
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                i, j = sent.value.cells(_matrix(batch.column("v")))
+                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("v"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["id", "v", "i", "j"])
+
+    indexed = stored(in_batches(rows, assign, "id long, v array<double>, i int, j int"))
+    counts = np.zeros((len(index.first), len(index.second)), np.int64)
+    for r in indexed.groupBy("i", "j").count().collect():  # at most MOST_CENTROIDS ** 2 rows
+        counts[r["i"], r["j"]] = r["count"]
+    queries = sample[:SAMPLE_QUERIES]
+    index.share = share_needed(index, counts, queries, nearest_cells(indexed, queries, ids[:SAMPLE_QUERIES], k), recall)
+    return index, indexed, counts
+
+
+def bands(held: np.ndarray, most: int) -> np.ndarray:
+    """Where runs of first-half centroids begin that hold at most `most` vectors together (or are one centroid); the number of centroids at the end."""
+    starts, size = [0], 0
+    for i, n in enumerate(held.tolist()):
+        if size and size + n > most:
+            starts.append(i)
+            size = 0
+        size += n
+    return np.array([*starts, len(held)])
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -163,8 +246,10 @@ def search(
     than the most frequent (of those, the smallest). Rows with one id are candidates each, but not for queries of that id.
     Ties go to the smaller id. An empty table gives no rows; other columns are not read.
 
-    Codebooks come from a bounded sample by a hash of the ids; every vector is indexed. The number of centroids grows with
-    the fourth root of the vectors. Hot cells are dealt out in blocks of vectors and of queries.
+    Codebooks come from a bounded sample by a hash of the ids; every vector is indexed. The number of centroids of a half grows with
+    the square root of the vectors, up to MOST_CENTROIDS. How many vectors a query visits is fitted on a few queries whose true neighbours
+    among all vectors are found by one pass over them. Runs of cells meet the queries that open one of them; hot ones are dealt out in blocks of
+    vectors and of queries.
     """
     rows = valid_vectors(vectors, id_col, vec_col)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -173,56 +258,48 @@ def search(
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes[0]
     rows = rows.where(F.size("v") == dim)
-    sample = _matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).select("v").toArrow().column("v"))
-    side = int(np.clip(round(total**0.25), 1, 1024))
-    index = fit(sample, side, k, recall)
-    sent = vectors.sparkSession.sparkContext.broadcast(index)
-
-    def assign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                i, j = sent.value.cells(_matrix(batch.column("v")))
-                yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("v"), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32))], names=["id", "v", "i", "j"])
-
-    indexed = stored(in_batches(rows, assign, "id long, v array<double>, i int, j int"))
-    counts = np.zeros((len(index.first), len(index.second)), np.int64)
-    for r in indexed.groupBy("i", "j").count().collect():  # at most side x side rows
-        counts[r["i"], r["j"]] = r["count"]
-    held = vectors.sparkSession.sparkContext.broadcast(counts)
+    index, indexed, counts = build(rows, dim, total, k, recall)
+    spark = vectors.sparkSession
     least = max(index.share * total, LEAST_VISITED)
+    starts = bands(counts.sum(1), BLOCK_VECTORS)
+    sent = spark.sparkContext.broadcast((index, counts, starts))
 
     def probe(batches):
+        index, counts, starts = sent.value
         for batch in batches:
-            owner, first, seconds = [], [], []
+            owner, band, cells = [], [], []
             for n, query in enumerate(_matrix(batch.column("v")) if batch.num_rows else []):
-                open_ = sent.value.visited(query, held.value, least)
-                for i in np.flatnonzero((open_ & (held.value > 0)).any(1)):
+                open_ = index.visited(query, counts, least) & (counts > 0)
+                for b in np.flatnonzero(np.add.reduceat(open_.any(1), starts[:-1])):
                     owner.append(n)
-                    first.append(i)
-                    seconds.append(np.flatnonzero(open_[i]).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner, pa.int64())), batch.column("v").take(pa.array(owner, pa.int64())), pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], names=["id", "v", "i", "js"])
-
-    asked = indexed.where(is_query).select("id", "v")
-    probes = stored(in_batches(asked, probe, "id long, v array<double>, i int, js array<int>"))
-    # How many blocks of vectors and of queries meet for each centroid of the first half: at most `side` rows.
-    blocks = probes.groupBy("i").count().select("i", F.ceil(F.col("count") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    blocks = blocks.join(indexed.groupBy("i").count().select("i", F.ceil(F.col("count") / BLOCK_VECTORS).cast("int").alias("vector_blocks")), "i")
+                    band.append(b)
+                    cells.append(np.packbits(open_[starts[b] : starts[b + 1]]).tobytes())
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), pa.array(band, pa.int32()), pa.array(cells, pa.binary())], names=["id", "v", "band", "cells"])
+
+    probes = stored(in_batches(indexed.where(is_query).select("id", "v"), probe, "id long, v array<double>, band int, cells binary"))
+    # How many blocks of vectors and of queries meet in each band: at most MOST_CENTROIDS rows.
+    band_of = F.element_at(F.array(*[F.lit(int(b)) for b in np.repeat(np.arange(len(starts) - 1), np.diff(starts))]), F.col("i") + 1)
+    placed = indexed.withColumn("band", band_of)
+    blocks = probes.groupBy("band").count().select("band", F.ceil(F.col("count") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+    blocks = blocks.join(placed.groupBy("band").count().select("band", F.ceil(F.col("count") / BLOCK_VECTORS).cast("int").alias("vector_blocks")), "band")
     blocks = F.broadcast(stored(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(blocks, "i").withColumn("qb", F.pmod(F.xxhash64("id"), "query_blocks").cast("int")).select("id", "v", "i", "js", "qb", every("vector_blocks").alias("vb"))
-    right = indexed.join(blocks, "i").withColumn("vb", F.pmod(F.xxhash64("id", F.lit(1)), "vector_blocks").cast("int")).select("id", "v", "i", "j", "vb", every("query_blocks").alias("qb"))
+    left = probes.join(blocks, "band").withColumn("qb", F.pmod(F.xxhash64("id"), "query_blocks").cast("int")).select("id", "v", "band", "cells", "qb", every("vector_blocks").alias("vb"))
+    right = placed.join(blocks, "band").withColumn("vb", F.pmod(F.xxhash64("id", F.lit(1)), "vector_blocks").cast("int")).select("id", "v", "i", "j", "band", "vb", every("query_blocks").alias("qb"))
 
-    def meet(queries, found):
-        open_ = np.zeros((len(queries), held.value.shape[1]), bool)
-        for n, js in enumerate(queries.column("js").to_pylist()):
-            open_[n, js] = True
+    def meet(key, queries, found):
+        _, counts, starts = sent.value
         columns = [[], [], []]
         if len(queries) and len(found):
-            columns = best_of(_matrix(queries.column("v")), queries.column("id").to_numpy(), open_, _matrix(found.column("v")), found.column("id").to_numpy(), found.column("j").to_numpy(), k)
+            low, width = starts[key[0].as_py()], counts.shape[1]
+            cells = (found.column("i").to_numpy() - low) * width + found.column("j").to_numpy()
+            open_ = np.stack([np.unpackbits(np.frombuffer(c, np.uint8)) for c in queries.column("cells").to_pylist()]).astype(bool)
+            columns = best_of(_matrix(queries.column("v")), queries.column("id").to_numpy(), open_, _matrix(found.column("v")), found.column("id").to_numpy(), cells, k)
         return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     ship(vectors.sparkSession)
-    near = left.groupBy("i", "qb", "vb").cogroup(right.groupBy("i", "qb", "vb")).applyInArrow(meet, schema)
+    near = left.groupBy("band", "qb", "vb").cogroup(right.groupBy("band", "qb", "vb")).applyInArrow(meet, schema)
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
