@@ -55,24 +55,31 @@ class MultiIndex:
         query = self.turned(query)
         a, b = self.first @ query[: self.half], self.second @ query[self.half :]
         rows, columns = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
-        heap, seen = [(-(a[rows[0]] + b[columns[0]]), 0, 0)], {(0, 0)}
+        high, wide = (-a[rows]).tolist(), (-b[columns]).tolist()
+        # One entry for each row that is begun: its best pair that is left. A row begins when the first pair of the row before is taken.
+        heap, last = [(high[0] + wide[0], 0, 0)], len(columns) - 1
         while heap:
-            _, i, j = heapq.heappop(heap)
+            _, i, j = heap[0]
             yield rows[i], columns[j]
-            for k, m in ((i + 1, j), (i, j + 1)):
-                if k < len(rows) and m < len(columns) and (k, m) not in seen:
-                    seen.add((k, m))
-                    heapq.heappush(heap, (-(a[rows[k]] + b[columns[m]]), k, m))
+            if j < last:
+                heapq.heapreplace(heap, (high[i] + wide[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if not j and i + 1 < len(rows):
+                heapq.heappush(heap, (high[i + 1] + wide[0], i + 1, 0))
 
     def visited(self, query: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
         """Which cells a query visits (k x k), until they hold `least` vectors."""
-        open_, held = np.zeros(counts.shape, bool), 0
+        held, size, opened, width = 0, counts.ravel().tolist(), [], counts.shape[1]
         for i, j in self.walk(query):
-            open_[i, j] = True
-            held += counts[i, j]
+            cell = i * width + j
+            opened.append(cell)
+            held += size[cell]
             if held >= least:
                 break
-        return open_
+        open_ = np.zeros(counts.size, bool)
+        open_[opened] = True
+        return open_.reshape(counts.shape)
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
