@@ -23,8 +23,9 @@ from tabsmith.llm.common import in_batches, ship, stored
 SAMPLE_VECTORS, SAMPLE_QUERIES = 8192, 256
 #: Share of the true neighbours of those queries, among all vectors, that must lie in the visited cells.
 RECALL = 0.94
-#: Centroids of a half at most.
-MOST_CENTROIDS = 256
+#: Vectors of a cell on average, and centroids of a half at most. With fewer vectors a cell, many cells are empty and the walk over
+#: them costs far more than ranking the vectors in them.
+CELL_VECTORS, MOST_CENTROIDS = 4, 256
 #: Vectors and queries that meet in one group.
 BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 LEAST_VISITED = 400
@@ -208,7 +209,7 @@ def build(rows: DataFrame, dim: int, total: int, k: int, recall: float) -> tuple
     """The index, every row with its cell (id, v, i, j), and the number of rows in each cell."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).toArrow()
     ids, sample = sample.column("id").to_numpy(), _matrix(sample.column("v"))
-    index = fit(sample, int(np.clip(round(total**0.5), 1, MOST_CENTROIDS)))
+    index = fit(sample, int(np.clip(round((total / CELL_VECTORS) ** 0.5), 1, MOST_CENTROIDS)))
     sent = rows.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches):
