@@ -222,6 +222,26 @@ def test_walk_is_in_order():
     assert len(sums) == 30 and sums == sorted(sums, reverse=True)
 
 
+def test_index_turns_without_loss_and_bands_hold_all():
+    rng = np.random.default_rng(2)
+    for dim in (1, 2, 7, 8):
+        x = rng.normal(size=(300, dim)) * rng.uniform(0.1, 3, dim)
+        index = op1_multi_index.fit(x, 6)
+        assert np.allclose(index.turned(x) @ index.turned(x).T, x @ x.T)
+        i, j = index.cells(x)
+        counts = np.zeros((len(index.first), len(index.second)), np.int64)
+        np.add.at(counts, (i, j), 1)
+        assert len(list(index.walk(x[0]))) == counts.size and index.visited(x[0], counts, len(x)).sum() <= counts.size
+        best = [np.argsort(-(x @ q))[:10] for q in x[:40]]
+        cells = [list(zip(i[b].tolist(), j[b].tolist(), strict=True)) for b in best]
+        share = op1_multi_index.share_needed(index, counts, x[:40], cells, 0.9)
+        opened = [index.visited(q, counts, share * len(x)) for q in x[:40]]
+        assert 0 < share <= 1 and np.mean([o[i[b], j[b]].mean() for o, b in zip(opened, best, strict=True)]) >= 0.9
+        starts = op1_multi_index.bands(counts.sum(1), 50)
+        parts = np.split(counts.sum(1), starts[1:-1])
+        assert starts[-1] == len(counts) and sum(p.sum() for p in parts) == len(x) and all(len(p) == 1 or p.sum() <= 50 for p in parts)
+
+
 def test_pipeline_stages(spark):
     table = spark.read.parquet(f"{DATA}/documents.parquet")
     before = table
