@@ -19,10 +19,13 @@ def confusion_counts(scored: DataFrame, truth: str, predicted: str) -> DataFrame
 
 def confusion_matrix(scored: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
     """Zero-filled (truth, predicted, cnt) over a fixed label order."""
+    spark, k = scored.sparkSession, len(labels)
     kind = scored.schema[truth].dataType.simpleString()
-    grid = scored.sparkSession.createDataFrame(
-        [(t, p) for t in labels for p in labels], f"truth {kind}, predicted {kind}"
-    )
+    named = F.broadcast(spark.createDataFrame(list(enumerate(labels)), f"place bigint, label {kind}"))
+    # Only the labels leave the driver; the pairs are numbers that the executors count out.
+    pairs = spark.range(k * k).select(F.floor(F.col("id") / F.lit(max(k, 1))).alias("t"), (F.col("id") % F.lit(max(k, 1))).alias("p"))
+    grid = pairs.join(named.select(F.col("place").alias("t"), F.col("label").alias("truth")), "t")
+    grid = grid.join(named.select(F.col("place").alias("p"), F.col("label").alias("predicted")), "p").select("truth", "predicted")
     counts = confusion_counts(scored, truth, predicted)
     return grid.join(counts, ["truth", "predicted"], "left").select(
         "truth", "predicted", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")

@@ -85,3 +85,11 @@ def test_metrics_values(spark):
     assert rep["accuracy"]["f1"] == 0.7273 and rep["macro avg"]["recall"] == 0.5714
     grid = {(r[0], r[1]): r[2] for r in metrics.confusion_matrix(df, "t", "p", ["a", "b", "c"]).collect()}
     assert grid["b", "c"] == 0 and grid["c", "a"] == 1 and len(grid) == 9
+
+
+def test_confusion_of_many_labels(spark):
+    df = spark.createDataFrame([("a7", "a7"), ("a7", "a299"), ("a0", "zz"), (None, "a1")], "t string, p string")
+    grid = metrics.confusion_matrix(df, "t", "p", [f"a{i}" for i in range(300)])
+    assert grid.count() == 90_000 and grid.select("truth", "predicted").distinct().count() == 90_000
+    assert sorted(tuple(r) for r in grid.filter("cnt > 0").collect()) == [("a7", "a299", 1), ("a7", "a7", 1)]
+    assert metrics.confusion_matrix(df, "t", "p", []).count() == 0
