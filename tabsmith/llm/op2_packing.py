@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import in_batches, raw, slices
+from tabsmith.llm.common import in_batches, raw, slices, stored
 from tabsmith.llm.tokens import tokenizer_text, word_tokenizer
 
 #: Documents of a group, on average. A group is packed in one task; its pieces are a few numbers each.
@@ -97,14 +97,15 @@ def pack(
 
     A document of at most `capacity` ids stays whole; a longer one is cut at multiples of it, full pieces fill a sequence
     each and the rest is packed like a short document. Groups are drawn by a hash of the piece's place, so
-    hot sources, copies and one id on many rows spread evenly; each group holds about `group_documents` pieces however
+    hot sources, copies and one id on many rows spread evenly; the number of groups is that of the documents over `group_documents`, however
     large the input is. NULL and empty texts are a piece that holds `end_id` alone. Rows with the same id are documents
     of their own. An empty table gives no rows. Other columns are not read.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     # A count of rows costs a look at file footers, no text.
     groups = max(1, -(-docs.count() // group_documents))
-    cut = pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    # Written first: a piece's place in its task decides its group, and a task that runs again may meet its rows in another order.
+    cut = stored(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     seed = F.xxhash64(F.col(id_col), "start", "row", "ids_crc32")
     drawn = cut.withColumn("group", F.pmod(seed, F.lit(groups))).withColumn("place", seed)
 
