@@ -9,6 +9,7 @@ executor is lost, and need not be stored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ RID = "_tabsmith_row"
 MAX_CLASSES = 10_000
 # Up to so many classes have their cuts in the filter itself; more are looked up in a table.
 FILTER_CLASSES = 48
-# Classes of a table that is broadcast at most, and hash buckets that the cut of a class is searched in.
+# Classes of a table that is broadcast at most, and buckets that a bracket of a class is cut into.
 BROADCAST_CLASSES = 200_000
 HASH_BUCKETS = 256
 
@@ -184,35 +185,60 @@ def _table_quotas(table: DataFrame, n: int, test_size: float) -> DataFrame:
 
 def _split_by_table(df: DataFrame, target: str, quotas: DataFrame, seed: int, key: list[str] | None) -> tuple[DataFrame, DataFrame]:
     """The split for any number of classes: one row per class says where its test rows end."""
+    wanted = quotas.filter("quota > 0")
     rows, rid = df, F.lit(0)
-    cuts = _cuts(rows, target, quotas, row_hash(df, key, seed), rid)
-    if not cuts.filter("tied").isEmpty():
+    h = row_hash(df, key, seed).cast("bigint")
+    cuts = _ranked(df.select(col(target).alias("y"), h.alias("v")), wanted.select("y", F.col("quota").alias("place")))
+    known = cuts.select(F.col("y").alias("_y"), F.col("v").alias("_h"), F.lit(0).cast("bigint").alias("_rid"))
+    tied = cuts.filter("place < n").select(F.col("y").alias("_y"), F.col("v").alias("_h"), "place")
+    if not tied.isEmpty():
         # Copies of one row share a hash: their stored row id decides.
         rows, rid = checkpointed(df.withColumn(RID, F.monotonically_increasing_id())), F.col(RID)
-        cuts = _cuts(rows, target, quotas, row_hash(rows.drop(RID), key, seed), rid)
-    h = row_hash(rows.drop(RID), key, seed)
-    known = cuts.select(F.col("y").alias("_y"), F.col("h").alias("_h"), F.col("rid").alias("_rid"))
-    known = F.broadcast(known) if known.count() <= BROADCAST_CLASSES else known
-    placed = rows.withColumns({"_hash": h, "_row": rid.cast("bigint")}).join(known, col(target).eqNullSafe(F.col("_y")), "left")
+        h = row_hash(rows.drop(RID), key, seed).cast("bigint")
+        copies = rows.select(col(target).alias("y"), h.alias("h"), F.col(RID).alias("v")).join(_sent(tied.drop("place")), col("y").eqNullSafe(F.col("_y")) & (F.col("h") == F.col("_h")))
+        last = _ranked(copies.select("y", "v"), tied.select(F.col("_y").alias("y"), "place"))
+        last = last.select(F.col("y").alias("_ty"), F.col("v").alias("_last"))
+        # Without a tie every row of the cut hash is a test row.
+        every = F.lit(2**63 - 1)
+        known = known.join(last, F.col("_y").eqNullSafe(F.col("_ty")), "left").select("_y", "_h", F.coalesce("_last", every).alias("_rid"))
+    placed = rows.withColumns({"_hash": h, "_row": rid.cast("bigint")}).join(_sent(known), col(target).eqNullSafe(F.col("_y")), "left")
     chosen = F.coalesce((F.col("_hash") < F.col("_h")) | ((F.col("_hash") == F.col("_h")) & (F.col("_row") <= F.col("_rid"))), F.lit(False))
     return tuple(placed.filter(side).select(*[col(c) for c in df.columns]) for side in (~chosen, chosen))
 
 
-def _cuts(rows: DataFrame, target: str, quotas: DataFrame, h: Column, rid: Column) -> DataFrame:
-    """(y, h, rid, tied): the last test row of every class with a quota. Only the hash bucket that holds it is sorted."""
-    bucket = F.floor(h * HASH_BUCKETS / F.lit(float(2**53)))
-    keyed = rows.select(col(target).alias("y"), h.alias("h"), rid.cast("bigint").alias("rid"), bucket.alias("bucket"))
-    before = F.sum("n").over(Window.partitionBy("y").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    held = keyed.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
-    known = quotas.select(F.col("y").alias("_y"), "quota")
-    last = held.join(known, F.col("y").eqNullSafe(F.col("_y"))).filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
-    last = last.select("_y", F.col("bucket").alias("_bucket"), (F.col("quota") - F.col("before")).alias("place"))
-    inside = keyed.join(last, F.col("y").eqNullSafe(F.col("_y")) & (F.col("bucket") == F.col("_bucket")))
-    order = Window.partitionBy("y").orderBy("h", "rid")
-    ranked = inside.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("h").over(order))
-    same = (F.col("next") == F.col("h")) & (F.lead("rid").over(order) == F.col("rid"))
-    ranked = ranked.withColumn("tied", F.coalesce(same, F.lit(False)))
-    return checkpointed(ranked.filter(F.col("rank") == F.col("place")).select("y", "h", "rid", "tied"))
+def _sent(by_class: DataFrame) -> DataFrame:
+    """A table of one row per class, broadcast if it is small."""
+    return F.broadcast(by_class) if by_class.count() <= BROADCAST_CLASSES else by_class
+
+
+def _ranked(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The value (bigint ``v``, 0 or more) at a place (from 1) among the rows of its class: (y, v, place, n).
+
+    ``n`` counts the rows of that value, ``place`` is the place among them. Each pass counts the buckets of every class's bracket and
+    narrows it to the bucket that holds the place, until it holds one value: rows are only ever counted, so that
+    any number of equal ones costs one entry per task and pass.
+    """
+    edges = rows.groupBy("y").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    wanted = places.select(F.col("y").alias("_y"), "place")
+    brackets = checkpointed(edges.join(wanted, F.col("y").eqNullSafe(F.col("_y"))).select("y", "lo", "hi", "place", "n"))
+    found = []
+    while True:
+        found.append(brackets.filter("lo = hi").select("y", F.col("lo").alias("v"), "place", "n"))
+        open_ = brackets.filter("lo < hi")
+        if open_.isEmpty():
+            break
+        known = _sent(open_.select(F.col("y").alias("_y"), "lo", "hi"))
+        # Rounding keeps the order, and both ends of a bracket lie in different buckets.
+        share = (F.col("v") - F.col("lo")).cast("double") / ((F.col("hi") - F.col("lo")).cast("double") + 1)
+        inside = rows.join(known, col("y").eqNullSafe(F.col("_y")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        held = inside.groupBy("y", F.floor(share * HASH_BUCKETS).alias("bucket")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+        # At most HASH_BUCKETS + 1 rows per class.
+        before = F.sum("n").over(Window.partitionBy("y").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+        held = held.withColumn("before", F.coalesce(before, F.lit(0)))
+        placed = held.join(_sent(open_.select(F.col("y").alias("_y"), "place")), col("y").eqNullSafe(F.col("_y")))
+        placed = placed.filter((F.col("before") < F.col("place")) & (F.col("place") <= F.col("before") + F.col("n")))
+        brackets = checkpointed(placed.select("y", "lo", "hi", (F.col("place") - F.col("before")).alias("place"), "n"))
+    return checkpointed(reduce(DataFrame.union, found))
 
 
 def class_distribution(train: DataFrame, test: DataFrame, target: str) -> DataFrame:

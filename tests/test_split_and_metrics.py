@@ -93,3 +93,31 @@ def test_confusion_of_many_labels(spark):
     assert grid.count() == 90_000 and grid.select("truth", "predicted").distinct().count() == 90_000
     assert sorted(tuple(r) for r in grid.filter("cnt > 0").collect()) == [("a7", "a299", 1), ("a7", "a7", 1)]
     assert metrics.confusion_matrix(df, "t", "p", []).count() == 0
+
+
+def test_many_classes_with_copies_are_split_exactly(spark):
+    """More classes than the filter holds; one of them is mostly copies of one row, one is nothing else, one is missing."""
+    rows = spark.range(9000).selectExpr(
+        "case when id < 4000 then 0 when id < 5000 then -1 when id < 5003 then null else id end as v",
+        "case when id < 4100 then 'hot' when id < 5000 then 'same' when id < 5030 then null else concat('c', id % 60) end as y",
+    )
+    train, test = split.holdout_split(rows, "y")
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    quotas = split.test_quotas(dict(sorted(counts.items(), key=lambda kv: (kv[0] is None, kv[0] or ""))), 0.2)
+    assert sizes(train, test, "y")[1] == quotas
+    assert train.unionAll(test).exceptAll(rows).isEmpty() and train.count() + test.count() == 9000
+    again = split.holdout_split(rows.repartition(7), "y")[1]
+    assert sizes(again, test, "y")[0] == quotas
+    assert again.filter("v > 0").exceptAll(test.filter("v > 0")).isEmpty()
+
+
+def test_ranked_values_equal_a_sort(spark):
+    numbers = random.Random(5)
+    of = {y: [numbers.choice([0, 7, 2**63 - 1, 2**62, numbers.randrange(2**60), numbers.randrange(9)]) for _ in range(700)] for y in ("a", "b", None)}
+    rows = spark.createDataFrame([(y, v) for y, vs in of.items() for v in vs], "y string, v bigint")
+    for place in (1, 2, 333, 700):
+        places = spark.createDataFrame([(y, place) for y in of], "y string, place bigint")
+        for r in split._ranked(rows, places).collect():
+            value = sorted(of[r["y"]])[place - 1]
+            assert (r["v"], r["n"]) == (value, of[r["y"]].count(value))
+            assert r["place"] == place - sum(v < value for v in of[r["y"]])
