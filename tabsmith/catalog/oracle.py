@@ -504,6 +504,11 @@ UNION ALL SELECT 'weighted avg', {r('sum(p * support) / sum(support)', 4)}, {r('
     q["roc_auc_ovr"] = f"WITH {SCORED} " + union(
         [f"SELECT CAST({i} AS BIGINT) AS class_index, {r(auc(f'''flag = '{c}' ''', s), 6)} AS auc" for i, (c, s) in enumerate((("A", "p_a"), ("N", "p_n"), ("R", "p_r")))]
     )
+    q["roc_auc_many_classes"] = f"""WITH s AS (SELECT c, CAST(o_custkey % 60 = c AS INTEGER) AS hit,
+ (o_orderkey * (c + 7) + CAST(floor(o_totalprice) AS BIGINT)) % 997 + CASE WHEN o_custkey % 60 = c THEN 60 + 5 * c ELSE 0 END AS score FROM orders CROSS JOIN (SELECT unnest(range(60)) AS c)),
+t AS (SELECT c, score, sum(hit) AS pos, sum(1 - hit) AS neg FROM s GROUP BY c, score),
+w AS (SELECT c, pos, neg, neg * (sum(pos) OVER (PARTITION BY c ORDER BY score DESC) - pos / 2.0) AS wins FROM t)
+SELECT CAST(c AS BIGINT) AS class_index, {r('CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(wins) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END', 6)} AS auc FROM w GROUP BY c"""
     q["csv_roundtrip_text"] = """SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents
 UNION ALL SELECT event_id, 'ev', event_type, length(props), md5('say "' || props || '",' || chr(10)) FROM events"""
     q["one_hot_hard_names"] = """SELECT label, count(*)::DOUBLE AS ones FROM (

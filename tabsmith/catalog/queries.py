@@ -491,6 +491,15 @@ def roc_auc_ovr(spark, d):
     return auc.select(F.col("class_index").cast("bigint").alias("class_index"), F.round("auc", 6).alias("auc"))
 
 
+def roc_auc_many_classes(spark, d):
+    """One-vs-rest areas of 60 classes, of scores that lean on the class, with ties."""
+    orders = table(spark, d, "orders").select((F.col("o_custkey") % 60).alias("y"), F.col("o_orderkey").alias("k"), F.floor("o_totalprice").alias("p"))
+    own = lambda c: F.when(F.col("y") == c, 60 + 5 * c).otherwise(0)
+    scores = {c: ((F.col("k") * (c + 7) + F.col("p")) % 997 + own(c)).cast("double") for c in range(60)}
+    auc = metrics.roc_auc_by_class(orders, "y", scores)
+    return auc.select(F.col("class_index").cast("bigint").alias("class_index"), F.round("auc", 6).alias("auc"))
+
+
 # ---- models ------------------------------------------------------------------------
 
 
@@ -596,7 +605,7 @@ def queries() -> dict[str, Query]:
         cleaned_table, impute_numeric, impute_mode, log1p_scale_robust, scale_standard, one_hot, one_hot_hard_names, ordinal, plain_ordinal,
         one_hot_capped, fit_metadata, compare_overall, compare_numeric, compare_hist, compare_categories, compare_long_text, impute_mode_long_text,
         ratio_validate, ratio_apply, select_features, select_relevance, anova, split_class_counts, split_many_classes, split_plain,
-        confusion, class_report, binary_metrics, roc_auc_ovr,
+        confusion, class_report, binary_metrics, roc_auc_ovr, roc_auc_many_classes,
         train_logistic_regression, train_decision_tree, train_random_forest, train_gradient_boosting, benchmark_abc,
         feature_importance, sample_records, model_comparison, score_batch, score_streamed, csv_roundtrip, csv_roundtrip_text,
         preview_rows,

@@ -6,10 +6,17 @@ scored rows to classes x classes, then arithmetic over those few rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabsmith.functions.jobs import together
+from tabsmith.functions.jobs import checkpointed, together
+
+# Cells that the scores of a class are counted in: at first, and each of those again whose order matters.
+COARSE_CELLS, FINE_CELLS = 1024, 64
+# Rows of a table of cells that is broadcast at most.
+BROADCAST_CELLS = 500_000
+_MIXED = "pos > 0 and neg > 0 and lo < hi"
+
 
 def confusion_counts(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
     return scored.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
@@ -19,19 +26,23 @@ def confusion_counts(scored: DataFrame, truth: str, predicted: str) -> DataFrame
 
 def confusion_matrix(scored: DataFrame, truth: str, predicted: str, labels: list) -> DataFrame:
     """Zero-filled (truth, predicted, cnt) over a fixed label order."""
-    spark, k = scored.sparkSession, len(labels)
-    kind = scored.schema[truth].dataType.simpleString()
-    named = F.broadcast(spark.createDataFrame(list(enumerate(labels)), f"place bigint, label {kind}"))
-    # Only the labels leave the driver; the pairs are numbers that the executors count out.
-    pairs = spark.range(k * k).select(F.floor(F.col("id") / F.lit(max(k, 1))).alias("t"), (F.col("id") % F.lit(max(k, 1))).alias("p"))
-    grid = pairs.join(named.select(F.col("place").alias("t"), F.col("label").alias("truth")), "t")
-    grid = grid.join(named.select(F.col("place").alias("p"), F.col("label").alias("predicted")), "p").select("truth", "predicted")
+    grid = label_grid(scored.sparkSession, labels, scored.schema[truth].dataType.simpleString())
     counts = confusion_counts(scored, truth, predicted)
     return grid.join(counts, ["truth", "predicted"], "left").select(
         "truth", "predicted", F.coalesce("cnt", F.lit(0)).cast("bigint").alias("cnt")
     )
 
 
+def label_grid(spark: SparkSession, labels: list, kind: str) -> DataFrame:
+    """All pairs (truth, predicted) of the labels."""
+    k = len(labels)
+    named = F.broadcast(spark.createDataFrame(list(enumerate(labels)), f"place bigint, label {kind}"))
+    # Only the labels leave the driver; the pairs are numbers that the executors count out.
+    pairs = spark.range(k * k).select(F.floor(F.col("id") / F.lit(max(k, 1))).alias("t"), (F.col("id") % F.lit(max(k, 1))).alias("p"))
+    grid = pairs.join(named.select(F.col("place").alias("t"), F.col("label").alias("truth")), "t")
+    return grid.join(named.select(F.col("place").alias("p"), F.col("label").alias("predicted")), "p").select("truth", "predicted")
+
+
 def class_report(counts: DataFrame) -> DataFrame:
     """precision, recall, f1 and support of every class seen in truth or prediction."""
     sides = counts.select(
@@ -91,9 +102,10 @@ def full_class_report(counts: DataFrame) -> DataFrame:
 def roc_auc_by_class(scored: DataFrame, truth: str, scores: dict[object, Column], parts: int | None = None) -> DataFrame:
     """Exact one-vs-rest ROC area per class: (class_index, auc), NULL when undefined.
 
-    Rows are first combined by (class, score). The scores are then range-partitioned and
-    summed up inside each range; what is above a range comes from one total per
-    range, so no task ever sees all scores.
+    The scores of each class are counted in cells twice, coarse and fine. A cell whose rows are all positive, all negative, or
+    of one score needs no order inside, so it is one entry whatever its rows. Only rows of the other fine cells are shuffled,
+    combined by (class, score). The entries are range-partitioned and summed up inside each range; what is above a range
+    comes from one total per range, so no task ever sees all scores.
     """
     spark = scored.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -104,8 +116,36 @@ def roc_auc_by_class(scored: DataFrame, truth: str, scores: dict[object, Column]
         ]
     )
     long = scored.select(F.inline(items)).filter("score is not null and hit is not null")
-    tally = long.groupBy("k", "score").agg(F.sum("hit").alias("pos"), F.sum(F.lit(1) - F.col("hit")).alias("neg"))
-    return auc_of_tally(tally, parts)
+    return auc_of_tally(score_tally(long), parts)
+
+
+def score_tally(long: DataFrame) -> DataFrame:
+    """(k, score, pos, neg) from (k, score, hit): in the order of scores, and complete for every pair of unlike rows."""
+    counted = [F.sum("hit").alias("pos"), F.sum(F.lit(1) - F.col("hit")).alias("neg")]
+    ends = [F.min("score").alias("lo"), F.max("score").alias("hi")]
+    entry = ["k", F.col("lo").alias("score"), "pos", "neg"]
+    # One row per class.
+    edges = long.groupBy("k").agg(*ends)
+    coarse = long.join(F.broadcast(edges), "k").select("k", "score", "hit", _cell(COARSE_CELLS).alias("cell"))
+    cells = checkpointed(coarse.groupBy("k", "cell").agg(*ends, *counted))
+    known = cells.filter(_MIXED).select("k", "cell", "lo", "hi")
+    # At most COARSE_CELLS + 1 rows per class.
+    known = F.broadcast(known) if known.count() <= BROADCAST_CELLS else known
+    fine = coarse.join(known, ["k", "cell"]).select("k", "cell", "score", "hit", _cell(FINE_CELLS).alias("part"))
+    inner = checkpointed(fine.groupBy("k", "cell", "part").agg(*ends, *counted))
+    tally = cells.filter(f"not ({_MIXED})").select(*entry).unionByName(inner.filter(f"not ({_MIXED})").select(*entry))
+    open_ = inner.filter(_MIXED).select("k", "cell", "part")
+    left = open_.count()
+    if not left:
+        return tally
+    rows = fine.join(F.broadcast(open_) if left <= BROADCAST_CELLS else open_, ["k", "cell", "part"])
+    return tally.unionByName(rows.groupBy("k", "score").agg(*counted))
+
+
+def _cell(cells: int) -> Column:
+    """The cell of a score between `lo` and `hi`: rounding keeps the order of scores. Infinite and NaN ends make one cell."""
+    share = (F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    return F.coalesce(F.when(F.col("hi") - F.col("lo") < float("inf"), F.floor(share * cells)), F.lit(0)).cast("bigint")
 
 
 def auc_of_tally(tally: DataFrame, parts: int) -> DataFrame:

@@ -24,7 +24,7 @@ from tabsmith.functions.expr import as_text, col, nan_to_null
 from tabsmith.functions.jobs import pinned
 from tabsmith.operators.autoconfig import detect_leakage, resolve_target
 from tabsmith.operators.boosting import SoftmaxBooster
-from tabsmith.operators.metrics import classification_metrics, confusion_counts, full_class_report
+from tabsmith.operators.metrics import classification_metrics, confusion_counts, full_class_report, label_grid
 from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor
 from tabsmith.operators.ratios import RatioFeatures
 from tabsmith.operators.selection import FeatureSelector
@@ -264,7 +264,7 @@ def evaluate(model: TrainedModel, test: DataFrame, label: Column, clock: Clock)
         counts = pinned(confusion_counts(scored, LABEL, "prediction"))
     names_ = F.array(*[F.lit(c) for c in model.class_labels])
     values = F.array(*[F.lit(c) for c in model.classes])
-    grid = test.sparkSession.createDataFrame([(t, p) for t in labels for p in labels], "truth double, predicted double")
+    grid = label_grid(test.sparkSession, labels, "double")
     matrix = grid.join(counts, ["truth", "predicted"], "left").select(
         F.element_at(names_, (F.col("truth") + 1).cast("int")).alias("truth"),
         F.element_at(names_, (F.col("predicted") + 1).cast("int")).alias("predicted"),

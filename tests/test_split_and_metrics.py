@@ -121,3 +121,28 @@ def test_ranked_values_equal_a_sort(spark):
             value = sorted(of[r["y"]])[place - 1]
             assert (r["v"], r["n"]) == (value, of[r["y"]].count(value))
             assert r["place"] == place - sum(v < value for v in of[r["y"]])
+
+
+@pytest.mark.parametrize("coarse, fine", [(1, 1), (2, 3), (8, 4), (1024, 64)])
+def test_auc_by_cells_equals_brute_force(spark, monkeypatch, coarse, fine):
+    """Many classes, ties, classes that are told apart, scores far apart, infinite and missing ones."""
+    monkeypatch.setattr(metrics, "COARSE_CELLS", coarse)
+    monkeypatch.setattr(metrics, "FINE_CELLS", fine)
+    numbers = random.Random(11)
+    draws = [lambda hit: hit + numbers.random(), lambda hit: float(numbers.randrange(4)), lambda hit: 10.0 ** numbers.randrange(-300, 300), lambda hit: numbers.choice([float("inf"), -float("inf"), 1.0, 2.0]),
+             lambda hit: numbers.choice([None, numbers.random()]), lambda hit: 0.5, lambda hit: numbers.random() / 1e6 + 0.3 * hit * numbers.randrange(2)]
+    rows = []
+    for _ in range(400):
+        y = numbers.randrange(len(draws))
+        rows.append((y, *[draw(int(y == c)) for c, draw in enumerate(draws)]))
+    df = spark.createDataFrame(rows, "y int, " + ", ".join(f"s{c} double" for c in range(len(draws))))
+    got = {r["class_index"]: r["auc"] for r in metrics.roc_auc_by_class(df, "y", {c: F.col(f"s{c}") for c in range(len(draws))}).collect()}
+    for c in range(len(draws)):
+        assert got[c] == pytest.approx(brute_auc([(r[0] == c, r[c + 1]) for r in rows if r[c + 1] is not None]), abs=1e-9)
+
+
+def test_classes_told_apart_leave_no_rows_to_order(spark):
+    long = spark.range(20_000).selectExpr("cast(id % 5 as int) as k", "(id % 7919) / 7919.0 + if(id % 3 = 0, 2, 0) as score", "cast(id % 3 = 0 as int) as hit")
+    tally = metrics.score_tally(long)
+    assert tally.count() <= 5 * (metrics.COARSE_CELLS + 1)
+    assert tally.agg(F.sum("pos") + F.sum("neg")).first()[0] == 20_000
