@@ -13,7 +13,10 @@ import re
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -157,6 +160,32 @@ def one_hot(c: Column, category: str) -> Column:
     return F.when(c == F.lit(category), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+# Columns of a row on its way into a vector.
+DENSE, TOKENS, HOT = "_tabsmith_dense", "_tabsmith_tokens", "_tabsmith_hot"
+
+
+def token(place: int, category: str) -> str:
+    """Slot of a category of the text column at a place; no two columns share one."""
+    return f"{place}\x1f{category}"
+
+
+def as_vector(df: DataFrame, kept: list[str], dense: list[Column], tokens: list[Column], slots: list[str], labels: list[str], output: str) -> DataFrame:
+    """Kept columns and one vector: the dense features, then one slot per category, found by a dictionary.
+
+    A row holds one token per text column, so its cost follows the columns, not the categories. ``labels`` go into the column's
+    ML attributes, slot by slot.
+    """
+    numbers = [f"{DENSE}{i}" for i in range(len(dense))]
+    out = df.select(*[col(c) for c in kept], *[d.alias(n) for d, n in zip(dense, numbers)], F.array_compact(F.array(*tokens).cast("array<string>")).alias(TOKENS))
+    parts = list(numbers)
+    if slots:
+        out = CountVectorizerModel.from_vocabulary(slots, TOKENS, HOT, binary=True).transform(out)
+        parts.append(HOT)
+    out = VectorAssembler(inputCols=parts, outputCol=output).transform(out)
+    attributes = {"attrs": {"numeric": [{"idx": i, "name": x} for i, x in enumerate(labels)]}, "num_attrs": len(labels)}
+    return out.select(*[col(c) for c in kept], col(output)).withMetadata(output, {"ml_attr": attributes})
+
+
 class DictionaryModel(StateModel):
     """A fitted model that also keeps a value dictionary, stored as Parquet."""
 
@@ -258,9 +287,10 @@ class HybridPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable
     skewnessThreshold = Param(Params._dummy(), "skewnessThreshold", "skewness limit", TypeConverters.toFloat)
     outlierThreshold = Param(Params._dummy(), "outlierThreshold", "outlier share limit", TypeConverters.toFloat)
     cardinalityThreshold = Param(Params._dummy(), "cardinalityThreshold", "one-hot limit", TypeConverters.toInt)
+    vectorCol = Param(Params._dummy(), "vectorCol", "one vector column instead of a column per feature", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, leakageColumns=None, skewnessThreshold=1.0, outlierThreshold=0.02, cardinalityThreshold=15):
+    def __init__(self, *, inputCols=None, leakageColumns=None, skewnessThreshold=1.0, outlierThreshold=0.02, cardinalityThreshold=15, vectorCol=None):
         super().__init__()
         self._setDefault(skewnessThreshold=1.0, outlierThreshold=0.02, cardinalityThreshold=15)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -307,6 +337,7 @@ class HybridPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable
             "ordinal": ordinal,
             "status": status,
             "trace": trace,
+            "vector": self.getOrDefault(self.vectorCol) if self.isDefined(self.vectorCol) else None,
         }
         return HybridPreprocessorModel(state, dictionary)
 
@@ -331,6 +362,14 @@ class HybridPreprocessorModel(DictionaryModel):
                 names.append(f"{f['name']}_ordinal")
         return names
 
+    @property
+    def vector_labels(self) -> list[str]:
+        """What the slots of a vector stand for: numbers and codes first, then the categories."""
+        s = self.fitted
+        coded = [f for f in s["text"] if f["encoder"] != "OneHotEncoder"]
+        hot = [f for f in s["text"] if f["encoder"] == "OneHotEncoder"]
+        return [f["name"] for f in s["numeric"]] + [f"{f['name']}_ordinal" for f in coded] + [f"{f['name']}_{c}" for f in hot for c in f["categories"]]
+
     def _inputs(self, df: DataFrame) -> tuple[dict[str, Column], dict[str, Column]]:
         """Numeric and imputed text expressions; absent columns count as missing."""
         s = self.fitted
@@ -359,11 +398,18 @@ class HybridPreprocessorModel(DictionaryModel):
             finite(scaled(numeric_value(numeric[f["name"]], f), f["center"], f["scale"]))
             for f in s["numeric"]
         ]
+        code = {n: F.coalesce(F.col(f"_idx{i}"), F.lit(-1.0)) for n, i in place.items()}
+        if s.get("vector"):
+            hot = [f for f in s["text"] if f["encoder"] == "OneHotEncoder"]
+            tokens = [F.concat(F.lit(token(i, "")), text[f["name"]]) for i, f in enumerate(hot)]
+            slots = [token(i, c) for i, f in enumerate(hot) for c in f["categories"]]
+            dense = features + [code[f["name"]] for f in s["text"] if f["name"] in code]
+            return as_vector(df, kept, dense, tokens, slots, self.vector_labels, s["vector"])
         for f in s["text"]:
             if f["encoder"] == "OneHotEncoder":
                 features += [one_hot(text[f["name"]], c) for c in f["categories"]]
             else:
-                features.append(F.coalesce(F.col(f"_idx{place[f['name']]}"), F.lit(-1.0)))
+                features.append(code[f["name"]])
         return df.select(*[col(c) for c in kept], *[f.alias(n) for f, n in zip(features, self.feature_names)])
 
     def transform_cleaned(self, df: DataFrame) -> DataFrame:
@@ -447,11 +493,12 @@ class PlainPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
     inputCols = Param(Params._dummy(), "inputCols", "predictor columns", TypeConverters.toListString)
     encoding = Param(Params._dummy(), "encoding", "ordinal or onehot", TypeConverters.toString)
     maxCategories = Param(Params._dummy(), "maxCategories", "one-hot columns per text column", TypeConverters.toInt)
+    vectorCol = Param(Params._dummy(), "vectorCol", "one vector column instead of a column per feature", TypeConverters.toString)
 
     MISSING = "nan"
 
     @keyword_only
-    def __init__(self, *, inputCols=None, encoding="ordinal", maxCategories=15):
+    def __init__(self, *, inputCols=None, encoding="ordinal", maxCategories=15, vectorCol=None):
         super().__init__()
         self._setDefault(encoding="ordinal", maxCategories=15)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -471,7 +518,8 @@ class PlainPreprocessor(Estimator, DefaultParamsReadable, DefaultParamsWritable)
             # Filling with the mean leaves the mean and spreads the variance over all rows.
             var = (s.variance_pop or 0.0) * s.non_null / s.n_rows if s.n_rows else 0.0
             num.append({"name": n, "fill": mean, "log": False, "center": mean, "scale": unit(var**0.5)})
-        state = {"inputs": names, "numeric": num, "text": [], "ordinal": []}
+        vector = self.getOrDefault(self.vectorCol) if self.isDefined(self.vectorCol) else None
+        state = {"inputs": names, "numeric": num, "text": [], "ordinal": [], "vector": vector}
         dictionary = None
         coded = text
         if capped:
@@ -540,14 +588,21 @@ class PlainPreprocessorModel(DictionaryModel):
         spread = {f["name"] for f in s["text"]}
         index = {e["name"]: F.col(f"_idx{i}") for i, e in enumerate(s["ordinal"])}
         out += [F.coalesce(i, F.lit(-1.0)) for n, i in index.items() if n not in spread]
+        # A category that was rare in training; one never seen stays all zero.
+        rare = {f["name"]: ~text[f["name"]].isin(f["categories"]) & index[f["name"]].isNotNull() for f in s["text"] if f["infrequent"]}
+        if s.get("vector"):
+            tokens, slots = [], []
+            for i, f in enumerate(s["text"]):
+                # Rare values take the slot of a place of its own, so no value can name it.
+                other = token(i + len(s["text"]), "")
+                own = F.concat(F.lit(token(i, "")), text[f["name"]])
+                tokens.append(F.when(rare[f["name"]], F.lit(other)).otherwise(own) if f["infrequent"] else own)
+                slots += [token(i, c) for c in f["categories"]] + ([other] if f["infrequent"] else [])
+            return as_vector(df, kept, out, tokens, slots, self.feature_labels, s["vector"])
         for f in s["text"]:
-            v = text[f["name"]]
-            out += [one_hot(v, c) for c in f["categories"]]
+            out += [one_hot(text[f["name"]], c) for c in f["categories"]]
             if f["infrequent"]:
-                # A category that was rare in training; one never seen stays all zero.
-                rare = ~v.isin(f["categories"]) & index[f["name"]].isNotNull()
-                other = F.when(rare, 1.0).otherwise(0.0)
-                out.append(other)
+                out.append(F.when(rare[f["name"]], 1.0).otherwise(0.0))
         return df.select(*[col(c) for c in kept], *[f.alias(n) for f, n in zip(out, self.feature_names)])
 
 
@@ -587,6 +642,18 @@ class FeatureStandardizerModel(StateModel):
         )
 
 
+def vector_scaler(df: DataFrame, vector: str, output: str) -> ElementwiseProduct:
+    """Unit population variance for every slot of a vector; constant slots stay. Nothing is centred, so sparse vectors stay sparse.
+
+    A learner with an intercept that is not penalised finds the same coefficients as on centred features.
+    """
+    # One value per slot.
+    found = df.select(Summarizer.metrics("variance", "count").summary(col(vector)).alias("m")).select("m.*").first()
+    n = found["count"]
+    scales = [1.0 / unit(_pop(v, n) ** 0.5) for v in found["variance"].toArray()]
+    return ElementwiseProduct(scalingVec=Vectors.dense(scales), inputCol=vector, outputCol=output)
+
+
 class FiniteGuard(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """NULL, NaN and infinities of ``inputCols`` become 0.0; absent columns are added as 0.0."""
 

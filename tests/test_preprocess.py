@@ -1,12 +1,13 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tabsmith.functions import joins
 from tabsmith.operators.compare import Comparison
-from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor, HybridPreprocessorModel, PlainPreprocessor, require_numeric
+from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor, HybridPreprocessorModel, PlainPreprocessor, require_numeric, vector_scaler
 
 
 def fit(spark, values, ddl, **kw):
@@ -162,3 +163,67 @@ def test_comparison_in_the_same_passes(spark):
     # Equal counts: the smaller text first, though all share their first characters but one.
     assert cats == [(long[1], 2, 3), ("(Missing)", 1, 0), (long[0], 1, 1), (long[3], 1, 1), (long[2], 1, 1)]
     assert [r["category"] for r in one.categories(top=3).orderBy("rank").collect()] == [long[1], "(Missing)", long[0]]
+
+
+def by_label(model, df, vector="v", keep="k"):
+    """{key: {label: value}} of a vector column, by the names in its ML attributes."""
+    names = {a["idx"]: a["name"] for a in df.schema[vector].metadata["ml_attr"]["attrs"]["numeric"]}
+    assert [names[i] for i in range(len(names))] == getattr(model, "vector_labels", model.feature_labels)
+    return {r[keep]: {names[i]: x for i, x in enumerate(r[vector].toArray())} for r in df.collect()}
+
+
+HARD_ROWS = [(i, float(i % 7) if i % 5 else None, ["a.b", "a`b", "", "1\x1fa", None][i % 5], f"w{i % 40:02d}", "xyz"[i % 3]) for i in range(120)]
+HARD_SCHEMA = "k int, x double, t string, wide string, u string"
+
+
+def test_vector_holds_the_same_features_as_columns(spark):
+    df = spark.createDataFrame(HARD_ROWS, HARD_SCHEMA)
+    fresh = spark.createDataFrame([(1000, None, None, "none such", "x"), (1001, 3.0, "a.b", None, "new"), (1002, float("inf"), "0\x1f", "w03", "")], HARD_SCHEMA)
+    inputs = ["x", "t", "wide", "u"]
+    pairs = [(HybridPreprocessor(inputCols=inputs).fit(df), HybridPreprocessor(inputCols=inputs, vectorCol="v").fit(df))]
+    for encoding, cap in (("onehot", 15), ("onehot", 4), ("onehot", 2), ("ordinal", 15)):
+        pairs.append(tuple(PlainPreprocessor(inputCols=inputs, encoding=encoding, maxCategories=cap, **v).fit(df) for v in ({}, {"vectorCol": "v"})))
+    for plain, vector in pairs:
+        for rows in (df, fresh):
+            out = vector.transform(rows)
+            assert out.columns == ["k", "v"]
+            got = by_label(vector, out)
+            for r in plain.transform(rows).collect():
+                want = {label: r[name] for name, label in zip(plain.feature_names, plain.feature_labels)}
+                assert got[r["k"]] == pytest.approx(want)
+        assert vector.transform(df.limit(0)).count() == 0
+    gone = pairs[0][1].transform(fresh.drop("t", "x"))
+    assert by_label(pairs[0][1], gone)[1000]["t_a.b"] == 0.0
+
+
+def test_vectors_are_sparse_scaled_and_saved(spark, tmp_path):
+    from pyspark.ml.linalg import SparseVector
+
+    rows = [(i, *[f"c{i * (j % 10 + 1) % 11}" for j in range(30)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"t{j} string" for j in range(30)))
+    m = HybridPreprocessor(inputCols=df.columns[1:], vectorCol="v").fit(df)
+    out = m.transform(df)
+    first = out.first()["v"]
+    assert isinstance(first, SparseVector) and first.size == 330 and first.numNonzeros() == 30
+    scaled = vector_scaler(out, "v", "s").transform(out)
+    assert isinstance(scaled.first()["s"], SparseVector)
+    values = np.array([r["s"].toArray() for r in scaled.collect()])
+    assert np.allclose(values.std(axis=0), 1.0)
+    m.write().overwrite().save(str(tmp_path / "m"))
+    again = type(m).load(str(tmp_path / "m"))
+    assert again.transform(df).collect() == out.collect()
+
+
+def test_learner_finds_the_same_coefficients_on_sparse_vectors(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame(HARD_ROWS, HARD_SCHEMA).withColumn("y", F.expr("cast((k * 7 + k % 3 * 20) % 50 > 22 as double)"))
+    learner = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.01, standardization=False, tol=1e-12, maxIter=500)
+    plain = PlainPreprocessor(inputCols=["x", "t", "u"], encoding="onehot").fit(df)
+    names = plain.feature_names
+    dense = FeatureStandardizer(inputCols=names).fit(plain.transform(df)).transform(plain.transform(df))
+    want = learner.fit(VectorAssembler(inputCols=names, outputCol="f").transform(dense)).coefficients.toArray()
+    vectors = PlainPreprocessor(inputCols=["x", "t", "u"], encoding="onehot", vectorCol="v").fit(df).transform(df)
+    got = learner.fit(vector_scaler(vectors, "v", "f").transform(vectors)).coefficients.toArray()
+    assert np.allclose(got, want, atol=1e-5)
