@@ -25,7 +25,7 @@ from tabsmith.functions.jobs import pinned
 from tabsmith.operators.autoconfig import detect_leakage, resolve_target
 from tabsmith.operators.boosting import SoftmaxBooster
 from tabsmith.operators.metrics import classification_metrics, confusion_counts, full_class_report, label_grid
-from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor
+from tabsmith.operators.preprocess import FeatureStandardizer, FiniteGuard, HybridPreprocessor, vector_scaler
 from tabsmith.operators.ratios import RatioFeatures
 from tabsmith.operators.selection import FeatureSelector
 from tabsmith.operators.split import class_counts, drop_missing_target, holdout_split, predictors
@@ -216,6 +216,15 @@ def fit_learner(prepared: DataFrame, features: list[str], learner, stages: list,
     return PipelineModel([*stages, scaler, assembler, fitted])
 
 
+def fit_learner_on_vector(prepared: DataFrame, vector: str, learner, stages: list, clock: Clock) -> PipelineModel:
+    """The same for features that are one vector column already: scaled, not centred, so sparse ones stay sparse."""
+    scaler = vector_scaler(prepared, vector, FEATURES)
+    keep = [c for c in (LABEL, WEIGHT) if c in prepared.columns]
+    with clock.measure("model_training_sec"), stored(scaler.transform(prepared).select(*keep, FEATURES)) as ready:
+        fitted = learner.fit(ready)
+    return PipelineModel([*stages, scaler, fitted])
+
+
 def train_hybrid(
     train: DataFrame, inputs: list[str], leakage: list[str], specs: list[dict], target: str, learner, thresholds: dict, clock: Clock
 ):
