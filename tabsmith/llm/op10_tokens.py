@@ -106,4 +106,4 @@ def prefix_counts(
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *columns], names=[f.name for f in fields])
 
-    return in_batches(docs.select(id_col, text_col), count, T.StructType(fields))
+    return in_batches(docs.select(id_col, text_col), count, T.StructType(fields), keeps=True)

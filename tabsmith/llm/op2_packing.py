@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(owner)), *columns], names=[f.name for f in fields])
 
-    return in_batches(docs.select(id_col, text_col), cut, T.StructType(fields))
+    return in_batches(docs.select(id_col, text_col), cut, T.StructType(fields), keeps=True)
 
 
 def pack(

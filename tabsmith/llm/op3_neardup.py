@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import in_batches, raw, ship, slices, stored
+from tabsmith.llm.common import free_resident, in_batches, raw, ship, slices, stored
 from tabsmith.llm.graph import components, sent
 
 SHINGLE_WORDS = 5
@@ -30,8 +30,10 @@ BANDS, ROWS = 28, 5
 PAIRED_MEMBERS, BLOCK_SHINGLES, BLOCK_DOCUMENTS = 8, 1 << 17, 1000
 #: Bands that are sent to all tasks at most, because they hold more than this share of all entries each.
 HOT_BANDS = 2000
-#: Shingles that are compared at once within a block.
-COLUMNS = 2048
+#: Shingles that are compared at once within a block, and numbers of an array over pairs of its documents.
+COLUMNS, PAIRS = 2048, 1 << 19
+#: Points that are drawn at once.
+POINTS = 1 << 18
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SEED_INTERVAL, _SEED_POINT = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -88,21 +90,24 @@ def bag_signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray,
     while len(waiting):
         active, block = waiting, 1
         while len(active):
-            k = point[active, None] + np.arange(1, block + 1)
-            r = _mix(seed[active, None] + k.astype(np.uint64) * _SEED_POINT)
-            gaps = -np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / rate[active, None]
-            times = time[active, None] + np.cumsum(gaps, axis=1)
-            q = _mix(r)
-            good = times <= until[of[active], None]
-            # The level of the point within its interval.
-            good &= ((q >> np.uint64(32)) % size[active, None].astype(np.uint64)).astype(np.int64) < inside[active, None]
-            slot = ((q & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(out, (of[active, None] * slots + slot)[good], times[good])
-            going = times[:, -1] <= until[of[active]]
-            # Where the time is over, the first point beyond it is drawn again if the time is extended.
-            stay = active[going]
-            time[stay], point[stay] = times[going, -1], k[going, -1]
-            active, block = stay, min(2 * block, 64)
+            still = []
+            for part in np.array_split(active, -(-len(active) * block // POINTS)):
+                k = point[part, None] + np.arange(1, block + 1)
+                r = _mix(seed[part, None] + k.astype(np.uint64) * _SEED_POINT)
+                gaps = -np.log(((r >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)) / rate[part, None]
+                times = time[part, None] + np.cumsum(gaps, axis=1)
+                q = _mix(r)
+                good = times <= until[of[part], None]
+                # The level of the point within its interval.
+                good &= ((q >> np.uint64(32)) % size[part, None].astype(np.uint64)).astype(np.int64) < inside[part, None]
+                slot = ((q & np.uint64(0xFFFFFFFF)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
+                np.minimum.at(out, (of[part, None] * slots + slot)[good], times[good])
+                going = times[:, -1] <= until[of[part]]
+                # Where the time is over, the first point beyond it is drawn again if the time is extended.
+                stay = part[going]
+                time[stay], point[stay] = times[going, -1], k[going, -1]
+                still.append(stay)
+            active, block = np.concatenate(still), min(2 * block, 64)
         empty = np.isinf(out.reshape(texts, slots)).any(1) & (mass > 0)
         until = np.where(empty, until * 1.6, until)
         waiting = waiting[empty[of[waiting]]]
@@ -193,19 +198,26 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     owner, column = owner[times[column] > 1], number[column[times[column] > 1]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
+    # A few rows at once: numbers of eight bytes for all pairs would weigh more than the block itself.
+    rows = max(1, PAIRS // len(sets))
+    parts = [slice(low, low + rows) for low in range(0, len(sets), rows)]
     shared = np.zeros((len(sets), len(sets)), np.float32)
     for low in range(0, int(number[-1]) + 1, COLUMNS):
         i, j = np.searchsorted(column, [low, low + COLUMNS])
         has = np.zeros((len(sets), COLUMNS), np.float32)
         has[owner[i:j], column[i:j] - low] = 1
-        shared += has @ has.T
-    links = enough(shared.astype(np.int64), sizes[:, None], sizes[None, :])
+        for part in parts:
+            shared[part] += has[part] @ has.T
+    links = np.empty(shared.shape, bool)
+    for part in parts:
+        links[part] = enough(shared[part].astype(np.int64), sizes[part, None], sizes[None, :])
+    del shared
     if side.any() and not side.all():
         links &= side[:, None] != side[None, :]
     np.fill_diagonal(links, True)
     first = np.arange(len(sets))
     while True:
-        lower = np.where(links, first[None, :], len(sets)).min(1)
+        lower = np.concatenate([np.where(links[part], first[None, :], len(sets)).min(1) for part in parts])
         lower = lower[lower]
         if (lower == first).all():
             return first
@@ -222,6 +234,7 @@ def met_in_groups(met: DataFrame, label: str) -> DataFrame:
     """Links (a, b) of the groups (label, low, high) of (node, set, side): one link at most per text, to the first it is linked with."""
 
     def compare(key, part):
+        free_resident()
         part = part.sort_by([("node", "ascending"), ("side", "ascending")])
         column = part.column("set").combine_chunks()
         offsets, values = column.offsets.to_numpy(), column.values.to_numpy()

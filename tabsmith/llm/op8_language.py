@@ -9,16 +9,14 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import CARRIED, crc_mod, flat, in_batches, packed, slices, stored, unpacked
+from tabsmith.llm.common import CARRIED, crc_mod, flat, in_batches, packed, resident, slices, stored, unpacked
 from tabsmith.llm.graph import first_by_hash, sent
 
 #: Training documents of each language at most, in the order of a hash of their ids.
@@ -179,11 +177,6 @@ def train(
     return LanguageModel(names, language[order], gram[order], n[order], least_seen)
 
 
-@lru_cache(maxsize=1)
-def _tables(key: str, model: Broadcast) -> Tables:
-    return model.value.tables()
-
-
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, `lang_pred`, `score` (probability of that language against the others), `bits_per_byte` (NULL without text),
     and the columns in `carry`.
@@ -199,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     names = [id_col, *carry]
 
     def score(batches):
-        tables = _tables(key, sent)
+        tables = resident(key, lambda: sent.value.tables())
         for batch in slices(batches, "_text"):
             data, starts = flat(batch.column("_text"))
             bits, size = tables.code_lengths(data, starts), np.diff(starts)
@@ -212,7 +205,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[f.name for f in fields])
 
     rows = docs.select(*names, F.col(text_col).alias("_text"), has_letter(text_col).alias("_letter"))
-    return in_batches(rows, score, T.StructType(fields))
+    return in_batches(rows, score, T.StructType(fields), keeps=True)
 
 
 def has_letter(text_col: str) -> Column:

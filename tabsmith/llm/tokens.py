@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from tabsmith.llm.common import resident
 from tabsmith.llm.prefixes import Merges, prefix_counts
 
 #: Words that one worker keeps the ids of, twice (a young and an old half).
@@ -144,10 +145,9 @@ class WordTokenizer:
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
 def word_tokenizer(text: str) -> WordTokenizer:
-    """The worker's tokenizer of a file's content; its cache lives as long as the worker."""
-    return WordTokenizer(text)
+    """The worker's tokenizer of a file's content; its cache lives until the worker turns to another stage."""
+    return resident(text, lambda: WordTokenizer(text))
 
 
 def tokenizer_text(path: str) -> str:
