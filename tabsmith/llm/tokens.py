@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 from tabsmith.llm.common import resident
 from tabsmith.llm.prefixes import Merges, prefix_counts
 
-#: Words that one worker keeps the ids of, twice (a young and an old half).
-CACHE_WORDS = 150_000
+#: Words that one worker keeps the ids of, twice (a young and an old half), and as many parts of words.
+CACHE_WORDS = 200_000
 #: Characters whose normal form, lower case and class are the same in every library.
 _PLAIN = re.compile("[!-~¡-įı-ɏ]+").fullmatch
 
@@ -57,12 +57,12 @@ class _Memo(dict):
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
-        self.old: dict[bytes, bytes] = {}
+        self.old: dict = {}
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word):
         ids = self.old.get(word)
         if ids is None:
-            ids = self.encode(word.decode(errors="replace"))
+            ids = self.encode(word)
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()
@@ -91,8 +91,9 @@ class WordTokenizer:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens", [])) or "(?!)").search
         self.letters = _byte_letters()
-        self.memo = _Memo(self.encode)
-        self.units: dict[str, bytes] = {}
+        encode = self.encode
+        self.memo = _Memo(lambda word: encode(word.decode(errors="replace")))
+        self.units = _Memo(self._unit)
         self.specials = regex.compile("|".join(regex.escape(x["content"]) for x in spec.get("added_tokens", [])) or "(?!)").finditer
         self._spec = spec["model"]
         self.prefix_memo: dict[str, np.ndarray] = {}
@@ -117,23 +118,17 @@ class WordTokenizer:
         return found
 
     def _unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            name = unit if unit.isascii() else "".join([self.letters[b] for b in unit.encode()])
-            tokens = self.model.tokenize(name)
-            ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-            if len(self.units) >= CACHE_WORDS:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
+        name = unit if unit.isascii() else "".join([self.letters[b] for b in unit.encode()])
+        tokens = self.model.tokenize(name)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def encode(self, word: str) -> bytes:
         """Ids of a text without white space, as little-endian 32-bit numbers."""
         if _PLAIN(word) and not self.special(word):
             low = word.lower()
             if low.isalpha():
-                return self._unit(low)
-            return b"".join([self._unit(u) for u in self.split(low)])
+                return self.units[low]
+            return b"".join(map(self.units.__getitem__, self.split(low)))
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def words(self, words: list[bytes]) -> list[bytes]:

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tabsmith.llm import op2_packing, op10_tokens
+from tabsmith.llm import op2_packing, op10_tokens, tokens
 from tabsmith.llm.tokens import WordTokenizer, tokenizer_text
 from tests.llm.helpers import docs, words
 
@@ -129,3 +129,15 @@ def test_packing_contract(spark, library):
     order = ["doc_id", "start", "ids_crc32"]
     assert out.sort_values(order).reset_index(drop=True).equals(again.sort_values(order).reset_index(drop=True))
     assert op2_packing.pack(docs(spark, []), PATH).count() == 0
+
+
+def test_frequent_parts_of_words_outlive_a_full_cache(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 20)
+    own, asked = WordTokenizer(tokenizer_text(PATH)), []
+    monkeypatch.setattr(own.units, "encode", lambda unit: asked.append(unit) or own._unit(unit))
+    # Every word is new, its first part is not.
+    texts = ["often" + "!" * (n % 30 + 1) + words(1, n) for n in range(300)]
+    for text in texts:
+        assert np.frombuffer(own.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(map(len, (own.memo, own.memo.old, own.units, own.units.old))) <= 20
+    assert asked.count("often") == 1
