@@ -6,6 +6,10 @@ scored rows to classes x classes, then arithmetic over those few rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ from tabsmith.functions.jobs import checkpointed, together
 COARSE_CELLS, FINE_CELLS = 1024, 64
 # Rows of a table of cells that is broadcast at most.
 BROADCAST_CELLS = 500_000
+# Different scores that a task counts one by one: of a class, and of all classes together.
+CLASS_SCORES, TASK_SCORES = 4096, 262_144
+# Scores that a task sorts at once.
+BLOCK_SCORES = 1_048_576
 _MIXED = "pos > 0 and neg > 0 and lo < hi"
 
 
@@ -102,30 +110,114 @@ def full_class_report(counts: DataFrame) -> DataFrame:
 def roc_auc_by_class(scored: DataFrame, truth: str, scores: dict[object, Column], parts: int | None = None) -> DataFrame:
     """Exact one-vs-rest ROC area per class: (class_index, auc), NULL when undefined.
 
-    The scores of each class are counted in cells twice, coarse and fine. A cell whose rows are all positive, all negative, or
-    of one score needs no order inside, so it is one entry whatever its rows. Only rows of the other fine cells are shuffled,
-    combined by (class, score). The entries are range-partitioned and summed up inside each range; what is above a range
-    comes from one total per range, so no task ever sees all scores.
+    One pass counts the scores of every class one by one, as long as a task meets few different ones. The other classes are
+    counted in cells twice, coarse and fine. A cell whose rows are all positive, all negative, or of one score needs no order
+    inside, so it is one entry whatever its rows. Only rows of the other fine cells are shuffled, combined by (class, score).
+    The entries are range-partitioned and summed up inside each range; what is above a range comes from one total per range,
+    so no task ever sees all scores.
     """
     spark = scored.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    items = F.array(
-        *[
-            F.struct(F.lit(i).alias("k"), s.cast("double").alias("score"), (F.col(truth) == F.lit(c)).cast("int").alias("hit"))
-            for i, (c, s) in enumerate(scores.items())
-        ]
+    # One entry per class and score; a class that a task has not counted out has its ends there.
+    counted = checkpointed(
+        _tasks_tally(_score_rows(scored, truth, scores), len(scores)).groupBy("k", "lo", "hi").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    long = scored.select(F.inline(items)).filter("score is not null and hit is not null")
-    return auc_of_tally(score_tally(long), parts)
+    # One row per class.
+    edges = counted.groupBy("k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_or(F.col("lo") < F.col("hi")).alias("open"))
+    left = [r["k"] for r in edges.filter("open").select("k").collect()]
+    tally = counted.filter(~F.col("k").isin(left)).select("k", F.col("lo").alias("score"), "pos", "neg")
+    if left:
+        some = {c: s if i in left else F.lit(None) for i, (c, s) in enumerate(scores.items())}
+        rows = _score_rows(scored, truth, some).filter("place is not null").select(F.posexplode_outer("scores").alias("k", "score"), "place")
+        long = rows.filter("score is not null").select("k", "score", (F.col("k") == F.col("place")).cast("int").alias("hit"))
+        tally = tally.unionByName(score_tally(long, edges.filter("open").drop("open")))
+    return auc_of_tally(tally, parts)
+
+
+def _score_rows(scored: DataFrame, truth: str, scores: dict[object, Column]) -> DataFrame:
+    """(scores, place): the scores of a row by class, and which class it is of: -1 for none of them, NULL if that cannot be told.
+
+    `exists` keeps Spark from generating one method for the whole row: beyond 8,000 bytes of code the JVM interprets it.
+    """
+    hits = {i: F.col(truth) == F.lit(c) for i, c in enumerate(scores) if c is not None}
+    known = F.exists(F.array(next(iter(hits.values()), F.lit(None).cast("boolean"))), lambda h: h.isNotNull())
+    # One flat chain, whatever the number of classes.
+    place = F.when(~known, F.lit(None).cast("int"))
+    for i, hit in hits.items():
+        place = place.when(hit, F.lit(i))
+    values = [F.lit(None).cast("double") if c is None else s.cast("double") for c, s in scores.items()]
+    return scored.select(F.array(*values).alias("scores"), place.otherwise(F.lit(-1)).alias("place"))
 
 
-def score_tally(long: DataFrame) -> DataFrame:
-    """(k, score, pos, neg) from (k, score, hit): in the order of scores, and complete for every pair of unlike rows."""
+def _tasks_tally(rows: DataFrame, classes: int) -> DataFrame:
+    """(k, lo, hi, pos, neg) of each task: an entry per score (lo = hi), or the ends alone of a class with more scores than a task holds."""
+    most, block = min(CLASS_SCORES, max(64, TASK_SCORES // max(classes, 1))), max(1, BLOCK_SCORES // max(classes, 1))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By class: its different scores in order, rows and positive rows of each; rows and positive rows of NaN.
+        values, rows_of = [np.empty(0)] * classes, [np.zeros((2, 0), np.int64)] * classes
+        missing, ends = np.zeros((classes, 2), np.int64), {}
+        for batch in batches:
+            place, x = batch.column(1).fill_null(-2).to_numpy(), batch.column(0).flatten()
+            there = None if not x.null_count else x.is_valid().to_numpy(zero_copy_only=False).reshape(-1, classes)
+            x = x.to_numpy(zero_copy_only=False).reshape(-1, classes)
+            for start in range(0, len(x), block):
+                own, known = place[start : start + block], place[start : start + block] > -2
+                columns = np.ascontiguousarray(x[start : start + block].T)
+                for k in range(classes):
+                    score, hit = columns[k], own == k
+                    if there is not None or not known.all():
+                        kept = known if there is None else known & there[start : start + block, k]
+                        score, hit = score[kept], hit[kept]
+                    if not len(score):
+                        continue
+                    if k in ends:
+                        ends[k] = np.fmin(ends[k][0], np.fmin.reduce(score)), np.maximum(ends[k][1], score.max())
+                        continue
+                    good, score = np.sort(score[hit]), np.sort(score)
+                    # NaN comes last.
+                    n, n_good = np.searchsorted(score, np.nan), np.searchsorted(good, np.nan)
+                    missing[k] += len(score) - n, len(good) - n_good
+                    score, good = score[:n], good[:n_good]
+                    first = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]])) if n else np.empty(0, np.int64)
+                    found = score[first]
+                    at = np.searchsorted(values[k], found)
+                    new = np.ones(len(found), bool)
+                    new[at < len(values[k])] = values[k][at[at < len(values[k])]] != found[at < len(values[k])]
+                    if len(values[k]) + new.sum() > most:
+                        both = np.concatenate([values[k], found])
+                        ends[k] = both.min(), np.nan if missing[k][0] else both.max()
+                        values[k], rows_of[k], missing[k] = np.empty(0), np.zeros((2, 0), np.int64), 0
+                        continue
+                    if new.any():
+                        values[k], rows_of[k] = np.insert(values[k], at[new], found[new]), np.insert(rows_of[k], at[new], 0, axis=1)
+                        at = np.searchsorted(values[k], found)
+                    rows_of[k][0, at] += np.diff(first, append=n)
+                    rows_of[k][1] += np.bincount(np.searchsorted(values[k], good), minlength=len(values[k]))
+        for k in range(classes):
+            if k in ends:
+                lo, hi, rows_k = [ends[k][0]], [ends[k][1]], np.zeros((2, 1), np.int64)
+            else:
+                nan = int(missing[k][0] > 0)
+                lo = hi = np.concatenate([values[k], np.full(nan, np.nan)])
+                rows_k = np.concatenate([rows_of[k], missing[k][:, None][:, :nan]], axis=1)
+            if len(lo):
+                columns = [np.full(len(lo), k, np.int32), np.asarray(lo, float), np.asarray(hi, float), rows_k[1], rows_k[0] - rows_k[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "lo", "hi", "pos", "neg"])
+
+    return rows.mapInArrow(tally, "k int, lo double, hi double, pos bigint, neg bigint")
+
+
+def score_tally(long: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(k, score, pos, neg) from (k, score, hit): in the order of scores, and complete for every pair of unlike rows.
+
+    `edges`: (k, lo, hi), the least and the greatest score of each class, where they are known.
+    """
     counted = [F.sum("hit").alias("pos"), F.sum(F.lit(1) - F.col("hit")).alias("neg")]
     ends = [F.min("score").alias("lo"), F.max("score").alias("hi")]
     entry = ["k", F.col("lo").alias("score"), "pos", "neg"]
     # One row per class.
-    edges = long.groupBy("k").agg(*ends)
+    edges = edges if edges is not None else checkpointed(long.groupBy("k").agg(*ends))
     coarse = long.join(F.broadcast(edges), "k").select("k", "score", "hit", _cell(COARSE_CELLS).alias("cell"))
     cells = checkpointed(coarse.groupBy("k", "cell").agg(*ends, *counted))
     known = cells.filter(_MIXED).select("k", "cell", "lo", "hi")

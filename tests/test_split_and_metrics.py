@@ -146,3 +146,42 @@ def test_classes_told_apart_leave_no_rows_to_order(spark):
     tally = metrics.score_tally(long)
     assert tally.count() <= 5 * (metrics.COARSE_CELLS + 1)
     assert tally.agg(F.sum("pos") + F.sum("neg")).first()[0] == 20_000
+
+
+def rows_of_classes(numbers, draws, n=500):
+    rows = []
+    for _ in range(n):
+        y = numbers.choice([None, "rest", *map(str, range(len(draws)))])
+        rows.append((y, *[draw(y == str(c)) for c, draw in enumerate(draws)]))
+    return rows
+
+
+@pytest.mark.parametrize("class_scores, block", [(1, 7), (20, 100), (4096, 64), (4096, 1_048_576)])
+def test_auc_of_classes_counted_out_and_in_cells(spark, monkeypatch, class_scores, block):
+    """Classes of few and of many scores in one call, with missing, NaN and infinite ones, rows of no class and of an unknown one."""
+    monkeypatch.setattr(metrics, "CLASS_SCORES", class_scores)
+    monkeypatch.setattr(metrics, "BLOCK_SCORES", block)
+    numbers = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    draws = [lambda hit: float(numbers.randrange(9) + 2 * hit), lambda hit: hit + numbers.random(), lambda hit: numbers.choice([None, -0.0, 0.0, 1.5]), lambda hit: numbers.choice([nan, 1.0, numbers.random()]),
+             lambda hit: numbers.choice([inf, -inf, 0.0]), lambda hit: None, lambda hit: 0.25, lambda hit: nan]
+    rows = rows_of_classes(numbers, draws)
+    df = spark.createDataFrame(rows, "y string, " + ", ".join(f"s{c} double" for c in range(len(draws)))).repartition(3)
+    scores = {str(c): F.col(f"s{c}") for c in range(len(draws))} | {None: F.lit(1.0), "absent": F.lit(1.0)}
+    got = {r["class_index"]: r["auc"] for r in metrics.roc_auc_by_class(df, "y", scores).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 6, 7, 9} and got[9] is None
+    rank = lambda s: (2, 0.0) if s != s else (1, s)  # noqa: E731  NaN is above all
+    for c in got.keys() - {9}:
+        assert got[c] == pytest.approx(brute_auc([(r[0] == str(c), rank(r[c + 1])) for r in rows if r[0] is not None and r[c + 1] is not None]), abs=1e-9)
+
+
+def test_many_classes_of_few_scores_are_counted_in_one_pass(spark, monkeypatch):
+    """No row is written out for each class, and the scores of 60 classes are not one method that the JVM interprets."""
+    monkeypatch.setattr(metrics, "score_tally", lambda *_: pytest.fail("rows and classes were multiplied"))
+    orders = spark.range(3000).selectExpr("id % 60 as y", "id as k")
+    scores = {c: ((F.col("k") * (c + 7)) % 97 + F.when(F.col("y") == c, 9).otherwise(0)).cast("double") for c in range(60)}
+    got = {r["class_index"]: r["auc"] for r in metrics.roc_auc_by_class(orders, "y", scores).collect()}
+    for c in (0, 31, 59):
+        assert got[c] == pytest.approx(brute_auc([(i % 60 == c, i * (c + 7) % 97 + 9 * (i % 60 == c)) for i in range(3000)]), abs=1e-9)
+    plan = metrics._score_rows(orders, "y", scores)._jdf.queryExecution().executedPlan().toString()
+    assert all(not line.startswith("*") for line in plan.splitlines() if "AS scores" in line)
